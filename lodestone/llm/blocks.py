@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,8 @@ class Rolling:
 def write_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Store the rows as blocks of about ``block_bytes`` of text (a longer text
     is a block of its own) and return their names: block string, folder string,
-    bytes long."""
+    bytes long, number long. ``number`` is unique and has at most 40 bits: the
+    partition, and 16 bits for the block within it."""
     bound_arrow(rows.sparkSession)
     folder = new_path(rows.sparkSession, "blocks")
     at = rows.columns.index(text)
@@ -75,16 +77,16 @@ def write_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = open_fs(folder)
         fs.create_dir(where, recursive=True)
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId() << 16
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size
+            nonlocal held, size, number
             name = uuid.uuid4().hex
             with fs.open_output_stream(f"{where}/{name}", compression=None) as out, pa.ipc.new_file(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for b in held:
                     w.write_batch(b)
-            done = pa.RecordBatch.from_pydict({"block": [name], "folder": [folder], "bytes": pa.array([size], pa.int64())})
-            held, size = [], 0
+            done = pa.RecordBatch.from_pydict({"block": [name], "folder": [folder], "bytes": pa.array([size], pa.int64()), "number": pa.array([number], pa.int64())})
+            held, size, number = [], 0, number + 1
             return done
 
         for batch in batches:
@@ -102,7 +104,7 @@ def write_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_B
         if held:
             yield flush()
 
-    return staged(rows.mapInArrow(run, "block string, folder string, bytes long"), "block-names")
+    return staged(rows.mapInArrow(run, "block string, folder string, bytes long, number long"), "block-names")
 
 
 def read_block(folder: str, name: str) -> pa.Table:
