@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, chat, decontaminate, lm, packing, repeats, simhash, toxicity, warc
+from lodestone.llm import ann, chat, decontaminate, html_text, lm, packing, repeats, simhash, toxicity, warc
 from lodestone.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,6 +93,11 @@ FROM rows GROUP BY conv_id
 """
 
 
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
