@@ -13,11 +13,13 @@ repeated passages keeps the document itself, with n_chars counted anew.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, packing, repeats, simhash, toxicity
-from lodestone.llm.common import fold, staged, table
+from lodestone.llm.common import fold, recorded, remove_unused, staged, table
 from lodestone.llm.queries import TOKENIZER
 
 
@@ -44,12 +46,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("repeats", drop_repeats),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """A stage that first removes the intermediate files of the stage before,
+    whose result has been written and reread by now."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_unused(_left, docs)
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _tidy(drop_toxic)),
+    ("near_duplicates", _tidy(drop_near_duplicates)),
+    ("repeats", _tidy(drop_repeats)),
+    ("decontamination", _tidy(drop_contaminated)),
+    ("packing", _tidy(pack)),
 ]
 
 #: None of the later stages is SQL: signatures, hashes of windows, token ids.

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
     return (where if "://" in where or where.startswith("file:") else "file://" + where).rstrip("/")
 
 
+#: Paths handed out while ``recorded`` is in force.
+_recording: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _recording:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are handed out within, for later removal."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.pop(next(i for i, p in enumerate(_recording) if p is paths))
+
+
+def remove_unused(paths: list[str], by: DataFrame) -> None:
+    """Remove what was stored below ``paths``, unless ``by`` still reads any of it."""
+    names = [p.rsplit("/", 1)[1] for p in paths]
+    if any(n in f for f in by.inputFiles() for n in names):
+        return
+    for path in paths:
+        fs, where = open_fs(path)
+        if fs.get_file_info(where).type == pafs.FileType.Directory:
+            fs.delete_dir(where)
+    paths.clear()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
