@@ -9,13 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, chat, decontaminate, html_text, lm, packing, repeats, simhash, toxicity, warc
+from lodestone.llm import ann, chat, decontaminate, html_text, lm, oracles, packing, repeats, simhash, toxicity, warc
 from lodestone.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": oracles.WARC, "op2_repeats": oracles.REPEATS, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
