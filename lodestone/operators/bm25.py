@@ -22,10 +22,9 @@ class Bm25Params:
 
 
 def _spread(docs: DataFrame) -> DataFrame:
-    """Small files make few tasks; tokenizing is worth more of them."""
-    spark = docs.sparkSession
-    many = spark.sparkContext.defaultParallelism
-    return docs.repartition(many) if docs.rdd.getNumPartitions() < many else docs
+    """Few files make few tasks; tokenizing is worth more of them."""
+    many = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(many) if len(docs.inputFiles()) < many else docs
 
 
 def tokens(docs: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 RANGE = 1 << 16
 
 
-def merge_new(old: DataFrame, new: DataFrame, order: str = "walk_pos") -> DataFrame:
-    """Old entries as they are, then the new ones in their order, without hashes
-    that are there already; of a hash that is new twice, the first.
+def fresh_rows(old: DataFrame, new: DataFrame, order: str = "walk_pos") -> DataFrame:
+    """The rows of ``new`` whose hash is not in ``old``, of a hash that is new
+    twice the first, with entry_ids that go on after those of ``old``.
 
     Numbering is by ranges of the order: counts per range give each its first id,
     so that no task sees all new rows."""
@@ -19,7 +19,13 @@ def merge_new(old: DataFrame, new: DataFrame, order: str = "walk_pos") -> DataFr
     first = fresh.groupBy("hash").agg(F.min(order).alias(order))
     fresh = fresh.join(first, ["hash", order], "left_semi").dropDuplicates(["hash"])
     start = old.agg(F.coalesce(F.max("entry_id") + 1, F.lit(0)).alias("start"))
-    return old.unionByName(numbered(fresh, order).crossJoin(F.broadcast(start)).withColumn("entry_id", F.col("entry_id") + F.col("start")).drop("start", order).select(*old.columns))
+    placed = numbered(fresh, order).crossJoin(F.broadcast(start))  # one row
+    return placed.withColumn("entry_id", F.col("entry_id") + F.col("start")).drop("start", order)
+
+
+def merge_new(old: DataFrame, new: DataFrame, order: str = "walk_pos") -> DataFrame:
+    """Old entries as they are, then the new ones in their order."""
+    return old.unionByName(fresh_rows(old, new, order).select(*old.columns))
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:

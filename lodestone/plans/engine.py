@@ -14,7 +14,7 @@ from lodestone.functions.text import doc_text
 from lodestone.functions.vectors import normalize
 from lodestone.operators import bm25, fusion, hnsw, knn, mmr
 from lodestone.operators.filters import SearchFilters
-from lodestone.operators.merge import merge_new, numbered
+from lodestone.operators.merge import fresh_rows, numbered
 from lodestone.plans import planner
 from lodestone.plans.planner import Mode, Strategy
 from lodestone.sources import git
@@ -86,7 +86,7 @@ class Engine:
         rows = commits if include_diffs else commits.withColumn("diff_summary", F.lit(""))
         newest = rows.orderBy("walk_pos").select("hash").limit(1).collect()
         meta = IndexMeta(self.embedder.name, newest[0].hash if newest else "unknown", created_at, include_diffs=include_diffs)
-        meta = self.storage.save(numbered(self._entries(rows, include_diffs), "walk_pos").drop("walk_pos"), meta)
+        meta = self.storage.save(self._entries(numbered(rows, "walk_pos").drop("walk_pos"), include_diffs), meta)
         self._derive(meta, True)
         return meta
 
@@ -99,9 +99,13 @@ class Engine:
         newest = new.orderBy("walk_pos").select("hash").limit(1).collect()
         if not newest:
             return meta
-        merged = merge_new(entries, self._entries(new, meta.include_diffs))
         meta.last_commit = newest[0].hash
-        meta = self.storage.save(merged, meta)
+        return self.append_rows(entries, meta, new)
+
+    def append_rows(self, entries: DataFrame, meta: IndexMeta, rows: DataFrame) -> IndexMeta:
+        """Only rows that are new are embedded, after they were numbered."""
+        fresh = self._entries(fresh_rows(entries, rows), meta.include_diffs)
+        meta = self.storage.save(entries.unionByName(fresh.select(*entries.columns)), meta)
         self._derive(meta, True)
         return meta
 

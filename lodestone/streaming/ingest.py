@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.merge import merge_new
 from lodestone.plans.engine import Engine
 
 
@@ -21,7 +20,6 @@ def stream_into(engine: Engine, commits: DataFrame, checkpoint: str):
                 engine.build(rows)
             return
         entries, meta = engine.storage.load()
-        merged = merge_new(entries, engine._entries(rows, meta.include_diffs))
-        engine._derive(engine.storage.save(merged, meta), True)
+        engine.append_rows(entries, meta, rows)
 
     return commits.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
