@@ -197,7 +197,8 @@ class _Text(_Walker):
         _, _, level, cut = self.stack[-1]
         level = level or 0
         if not cut:
-            cut = _named_out(tag, found, level == 2) or (node in self.low and tag not in ("html", "body", "article", "main"))
+            # An article that many pages share is still their text.
+            cut = _named_out(tag, found, level == 2) or (level < 2 and node in self.low and tag not in ("html", "body", "article", "main"))
         if tag == "article" or found.get("role") == "article" or found.get("itemprop", "").lower() == "articlebody":
             level = 2
         elif (tag == "main" or found.get("role") == "main") and level < 1:

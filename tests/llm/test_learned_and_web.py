@@ -159,12 +159,15 @@ def test_html_main_text():
 def test_style_tree_cuts_what_repeats(spark):
     same = '<div class="top">Welcome to our site</div>'
     data = [(i, "http://h.com/x", f"<body>{same}<div><p>Story {i} about {'abc' * i}</p></div></body>") for i in range(12)]
+    data += [(60 + i, "http://copies.com/", "<article><p>one text</p></article><div>and the same end</div>") for i in range(9)]
     data += [(50, None, "<p>only</p>"), (51, "http://other.com", f"{same}<p>once</p>"), (52, "http://h.com/n", None), (52, "http://h.com/n", None)]
     got = Counter((r.page_id, r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame([(*d, "x") for d in data], PAGES)).collect())
     want = Counter()
     for i in range(12):
         t = f"Story {i} about {'abc' * i}".strip()
         want[(i, t, len(t))] += 1
+        if i < 9:
+            want[(60 + i, "one text", 8)] += 1
     want += Counter({(50, "only", 4): 1, (51, "Welcome to our site\nonce", 24): 1, (52, "", 0): 2})
     assert got == want
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
