@@ -40,7 +40,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BITS = 128
 RECALL = 0.995
-NODE_ROWS = 64
+NODE_ROWS = 256
 MOST_TRIES = 256
 CROWD = 1024
 ROW_BITS = 24
