@@ -22,7 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_arrow, new_path, open_fs, staged
+from lodestone.llm.common import bound_arrow, lean_memory, new_path, open_fs, staged
+
+lean_memory()  # wherever this module is imported, which is in the workers too
 
 BLOCK_BYTES = 4 << 20
 

@@ -7,6 +7,7 @@ folder on a cluster; only a session that names none gets a folder of its own.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,21 @@ ARROW_ROWS = "512"
 ARROW_BYTES = str(8 << 20)
 
 
+def lean_memory() -> None:
+    """Have a worker give freed arrays back to the system at once: the C library
+    otherwise keeps them, and an idle worker holds on to its largest block."""
+    import pyarrow as pa
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, no longer raised by use
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has its own ways
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def bound_arrow(spark: SparkSession) -> None:
     """Keep Arrow batches small whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm.blocks import BASE, U64, Rolling, ask, finish, merge, mix, pack_arrays, text_bytes, unpack_arrays, write_blocks
 
 LENGTH = 200
+BLOCK_BYTES = 2 << 20  # of text; the hashes of its windows take some 80 times that
 ANCHOR = 32  # bytes; a power of two
 _PLACE_BITS = 23
 _SEGMENT = 1 << 22
@@ -148,7 +149,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     n_removed, n_spans and kept_sha256."""
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rows = documents.drop(*results)
-    names = write_blocks(rows)
+    names = write_blocks(rows, block_bytes=BLOCK_BYTES)
     buckets = max(1, names.count())
 
     def pairs(table: pa.Table):

@@ -44,6 +44,7 @@ NODE_ROWS = 256
 MOST_TRIES = 256
 CROWD = 1024
 ROW_BITS = 24
+BLOCK_BYTES = 2 << 20
 #: Share of bits in which texts at the least similarity differ (angle of sets
 #: with cosine 2J / (1 + J)), and the distance that RECALL of them keep within.
 DIFFER = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
@@ -295,7 +296,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _members(documents: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The blocks' names, and node, doc_id, class (a node) of every row."""
-    names = write_blocks(documents)
+    names = write_blocks(documents, block_bytes=BLOCK_BYTES)
     rows = _signed(names)
     exact = rows.groupBy("h1", "h2").agg(F.min(F.struct("node", "s1", "s2", "n_shingles")).alias("first"))
     texts = staged(exact.select("h1", "h2", "first.*"), "texts")

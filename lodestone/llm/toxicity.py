@@ -31,7 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_arrow, staged
+from lodestone.llm.common import bound_arrow, lean_memory, staged
+
+lean_memory()
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -165,7 +167,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Le
                     f = _features(fold_text(text))
                     seen.update(f if only is None else f & only)
                     n += 1
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
                         seen = Counter()
             yield pd.DataFrame({"f": ["", *seen], "n": [n, *seen.values()]})
