@@ -66,8 +66,12 @@ class Bm25Index:
 
     @staticmethod
     def build(docs: DataFrame, params: Bm25Params = Bm25Params()) -> Bm25Index:
-        docs = _spread(docs)
-        return Bm25Index(term_frequencies(docs).select("term", "entry_id", "tf"), doc_lengths(docs), params)
+        """Lengths are sums of term frequencies, so that a search over tables that
+        were not stored tokenizes once: all its branches share the exchange."""
+        postings = term_frequencies(_spread(docs)).select("term", "entry_id", "tf")
+        sums = postings.groupBy("entry_id").agg(F.sum("tf").alias("len"))
+        lengths = docs.select("entry_id").join(sums, "entry_id", "left").select("entry_id", F.coalesce("len", F.lit(0).cast("long")).alias("len"))
+        return Bm25Index(postings, lengths, params)
 
     def add(self, docs: DataFrame) -> Bm25Index:
         more = Bm25Index.build(docs, self.params)
