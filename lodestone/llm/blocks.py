@@ -5,8 +5,8 @@ Instead a block of a few MB of text sends each bucket (a range of 64-bit keys)
 one binary value with its distinct keys and their counts, the bucket merges what
 all blocks sent, and answers each block with one value in the block's own key
 order. A key, however hot, is sent at most once per block, buckets are ranges of
-hashes and as many as there are blocks, and no task holds more than one block or
-one bucket.
+hashes, one for every few blocks, and no task holds more than one block or one
+bucket at a time.
 """
 
 from __future__ import annotations
@@ -153,38 +153,48 @@ def bucket_cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], buckets: int, answers: DataFrame | None = None) -> DataFrame:
-    """Rows bucket int, block string, blob binary: per block and bucket, the
+    """Rows bucket int, number long, blob binary: per block and bucket, the
     block's sorted keys and the arrays beside them. ``question`` gets the block,
     and what was answered before if ``answers`` is given."""
 
-    def rows(name: str, found: tuple[np.ndarray, list[np.ndarray]]) -> pa.Table:
+    def rows(number: int, found: tuple[np.ndarray, list[np.ndarray]]) -> pa.Table:
         keys, beside = found
         cuts = bucket_cuts(keys, buckets)
         own = np.flatnonzero(np.diff(cuts))
         blobs = [pack_arrays(keys[cuts[b] : cuts[b + 1]], *(a[cuts[b] : cuts[b + 1]] for a in beside)) for b in own]
-        return pa.table({"bucket": pa.array(own, pa.int32()), "block": pa.array([name] * len(own), pa.string()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"bucket": pa.array(own, pa.int32()), "number": pa.array([number] * len(own), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     if answers is None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield from rows(r["block"], question(read_block(r["folder"], r["block"]))).to_batches()
+                    yield from rows(r["number"], question(read_block(r["folder"], r["block"]))).to_batches()
 
         # One block after the other: a row of names stands for MBs of text.
-        return spread(names).mapInArrow(run, "bucket int, block string, blob binary")
+        return spread(names).mapInArrow(run, "bucket int, number long, blob binary")
 
     def again(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
-        return rows(r["block"], question(read_block(r["folder"], r["block"]), answered(right)))
+        return rows(r["number"], question(read_block(r["folder"], r["block"]), answered(right)))
 
-    return names.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(again, "bucket int, block string, blob binary")
+    return _side_by_side(names, answers, buckets).applyInArrow(again, "bucket int, number long, blob binary")
+
+
+def _tasks(blocks: int) -> int:
+    """A task for every three blocks: their rows are few and large, so adaptive
+    coalescing, which goes by bytes, would leave too few tasks."""
+    return max(1, -(-blocks // 3))
+
+
+def _side_by_side(names: DataFrame, answers: DataFrame, blocks: int):
+    n = _tasks(blocks)
+    return names.repartition(n, "number").groupBy("number").cogroup(answers.repartition(n, "number").groupBy("number"))
 
 
 def spread(names: DataFrame) -> DataFrame:
-    """Names dealt out over many small tasks."""
-    spark = names.sparkSession
-    return names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    """Names dealt out over tasks of a few blocks each."""
+    return names.repartition(_tasks(names.count()))
 
 
 def answered(answers: pa.Table) -> list[bytes]:
@@ -194,21 +204,19 @@ def answered(answers: pa.Table) -> list[bytes]:
     return [blobs[i] for i in order]
 
 
-def merge(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
+def merge(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]], name: str, buckets: int) -> DataFrame:
     """Answer each bucket: ``answer`` gets the blobs of all blocks and returns
     one for each, in the same order. The result is stored."""
 
     def run(group: pa.Table) -> pa.Table:
-        blocks = group.column("block").to_pylist()
-        order = np.argsort(blocks)  # the same whatever the order of arrival
-        blobs = group.column("blob").to_pylist()
-        out = answer([blobs[i] for i in order])
-        return pa.table({"bucket": group.column("bucket").take(pa.array(order)), "block": pa.array([blocks[i] for i in order], pa.string()), "blob": pa.array(out, pa.binary())})
+        group = group.sort_by("number")  # the same whatever the order of arrival
+        out = answer(group.column("blob").to_pylist())
+        return pa.table({"bucket": group.column("bucket"), "number": group.column("number"), "blob": pa.array(out, pa.binary())})
 
-    return staged(asked.groupBy("bucket").applyInArrow(run, "bucket int, block string, blob binary"), name)
+    return staged(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "bucket int, number long, blob binary"), name)
 
 
-def finish(names: DataFrame, answers: list[DataFrame], last: Callable[..., pa.Table], schema: str) -> DataFrame:
+def finish(names: DataFrame, answers: list[DataFrame], last: Callable[..., pa.Table], schema: str, blocks: int) -> DataFrame:
     """Rows that ``last`` makes of each block and all its answers: it gets the
     block's table and one list of blobs per DataFrame of answers."""
     all_answers, n_answers = None, len(answers)
@@ -224,4 +232,4 @@ def finish(names: DataFrame, answers: list[DataFrame], last: Callable[..., pa.Ta
         parts = [answered(right.filter(pa.array(kind == i))) for i in range(n_answers)]
         return last(read_block(r["folder"], r["block"]), *parts)
 
-    return names.groupBy("block").cogroup(all_answers.groupBy("block")).applyInArrow(run, schema)
+    return _side_by_side(names, all_answers, blocks).applyInArrow(run, schema)

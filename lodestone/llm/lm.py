@@ -188,10 +188,11 @@ def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = documents.select("doc_id", "text", fold("doc_id", FOLDS).cast("int").alias("fold"))
     names = write_blocks(rows)
-    buckets = max(1, names.count())
-    counted = merge(ask(names, _counts, buckets), _sum, "ngram-counts")
+    blocks = names.count()
+    buckets = max(1, -(-blocks // 3))  # a block's keys are about as large as its text
+    counted = merge(ask(names, _counts, buckets), _sum, "ngram-counts", buckets)
     total, distinct, total_kept, distinct_kept = _totals(counted)
-    cells = finish(names, [counted], lambda t, blobs: _histogram(t, blobs, total_kept, distinct_kept), "bucket int, two int, one int, n long")
+    cells = finish(names, [counted], lambda t, blobs: _histogram(t, blobs, total_kept, distinct_kept), "bucket int, two int, one int, n long", blocks)
     sums = cells.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()
     weights = learn([tuple(r) for r in sums], distinct_kept)
 
@@ -218,4 +219,4 @@ def score(documents: DataFrame) -> DataFrame:
         )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return finish(names, [counted], last, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return finish(names, [counted], last, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", blocks)

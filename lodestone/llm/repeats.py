@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm.blocks import BASE, U64, Rolling, ask, finish, merge, mix, pack_arrays, text_bytes, unpack_arrays, write_blocks
 
 LENGTH = 200
-BLOCK_BYTES = 2 << 20  # of text; the hashes of its windows take some 80 times that
+BLOCK_BYTES = 1 << 20  # of text; the hashes of its windows take some 80 times that
 ANCHOR = 32  # bytes; a power of two
 _PLACE_BITS = 23
 _SEGMENT = 1 << 22
@@ -150,7 +150,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rows = documents.drop(*results)
     names = write_blocks(rows, block_bytes=BLOCK_BYTES)
-    buckets = max(1, names.count())
+    blocks = names.count()
+    buckets = max(1, -(-blocks // 16))  # a run has 85 bytes on average, its keys 24
 
     def pairs(table: pa.Table):
         b = _Block(table, length)
@@ -165,8 +166,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         n = np.bincount(at[: len(own)], minlength=len(keys)) + 2 * np.bincount(at[len(own) :], minlength=len(keys))
         return keys, [np.minimum(n, 2).astype("u1")]
 
-    states = merge(ask(names, pairs, buckets), _classify, "repeat-runs")
-    counts = merge(ask(names, edges, buckets, states), _count, "repeat-windows")
+    states = merge(ask(names, pairs, buckets), _classify, "repeat-runs", buckets)
+    counts = merge(ask(names, edges, buckets, states), _count, "repeat-windows", buckets)
 
     def last(table: pa.Table, state: list[bytes], twice: list[bytes]) -> pa.Table:
         b = _Block(table, length)
@@ -184,4 +185,4 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table(out | {"n_bytes": pa.array(b.ends - b.starts), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return finish(names, [states, counts], last, fields + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return finish(names, [states, counts], last, fields + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string", blocks)
