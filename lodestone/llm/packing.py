@@ -213,7 +213,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with_i
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["part", "length"])
+    ranked = cut.join(base.hint("merge"), ["part", "length"])  # base grows with the partitions
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return ranked.mapInArrow(place, schema + ", sequence_id long, offset long, padded_length long")
