@@ -22,9 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_arrow, lean_memory, new_path, open_fs, staged
-
-lean_memory()  # wherever this module is imported, which is in the workers too
+from lodestone.llm.common import bound_arrow, new_path, open_fs, staged, trim_memory
 
 BLOCK_BYTES = 4 << 20
 
@@ -110,6 +108,7 @@ def write_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_B
 
 
 def read_block(folder: str, name: str) -> pa.Table:
+    trim_memory()  # of the block before
     fs, where = open_fs(folder)
     with fs.open_input_file(f"{where}/{name}") as f:
         return pa.ipc.open_file(f).read_all()

@@ -23,19 +23,13 @@ ARROW_ROWS = "512"
 ARROW_BYTES = str(8 << 20)
 
 
-def lean_memory() -> None:
-    """Have a worker give freed arrays back to the system at once: the C library
-    otherwise keeps them, and an idle worker holds on to its largest block."""
-    import pyarrow as pa
-
+def trim_memory() -> None:
+    """Give what a worker has freed back to the system; the C library otherwise
+    keeps it, and an idle worker holds on to what its largest block took."""
     try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, no longer raised by use
-        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
-        libc.malloc_trim(0)
+        ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library, which has its own ways
-    pa.set_memory_pool(pa.system_memory_pool())
 
 
 def bound_arrow(spark: SparkSession) -> None:

@@ -70,7 +70,8 @@ def _segment_runs(data, starts, ends, length, anchor, at):
     new = np.diff(place, prepend=-1) != 0
     new[before[n > 0]] = True
     new = np.flatnonzero(new)
-    return h[place[new]], window[new], window[np.append(new[1:], len(window)) - 1]
+    # Smallest hashes are small numbers: mixed again, they spread over all buckets.
+    return mix(h[place[new]] ^ U64(0xD1B54A32D192ED03)), window[new], window[np.append(new[1:], len(window)) - 1]
 
 
 class _Block:

@@ -31,9 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_arrow, lean_memory, staged
-
-lean_memory()
+from lodestone.llm.common import bound_arrow, staged, trim_memory
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -239,6 +237,7 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
             folded = [fold_text(t) for t in texts]
             weight = np.array([lexicon.matched(automaton, f) for f in folded], dtype=float)
             words = np.array([max(0, f.count(" ") - 1) for f in folded], dtype=float)
+            trim_memory()
             yield pd.Series(1 / (1 + np.exp(-np.clip(_shape(weight, words) @ b, -30, 30))))
 
     scored = documents.withColumn("score", toxicity("text"))
