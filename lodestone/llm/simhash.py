@@ -8,8 +8,13 @@ A forest of tries, each over its own random order of the signature's bits,
 brings signatures together that share a prefix. The prefix starts at the depth
 that the density calls for (about ``NODE_ROWS`` signatures a node) and is climbed
 to shorter ones until the tries allowed reach the target recall at the least
-similarity; pairs within the distance that this similarity implies are verified
-by the exact Jaccard similarity of their shingle sets.
+similarity, summed over the distances that pairs have there; pairs within
+``DISTANCE`` are verified by the exact Jaccard similarity of their shingle sets.
+One depth holds for the whole corpus.
+
+Signatures of few shingles say little. A text of at most ``FEW`` is in no trie: it
+is compared with all texts that share one of the smallest hashes of its set, of
+which any two sets as similar have one in common, so none of its links is missed.
 
 No node's pairs are all emitted. In a first round each text names its nearest two
 in a node, and in crowded nodes the nearest of a few leaders; verified links form
@@ -24,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -40,13 +46,16 @@ WORDS = 5
 SIMILARITY = 0.8
 BITS = 128
 RECALL = 0.995
-NODE_ROWS = 256
+NODE_ROWS = 1024
 MOST_TRIES = 256
 CROWD = 1024
 ROW_BITS = 24
+#: Short texts a bucket, each there with up to a fifth of its shingles.
+FEW_ROWS = 20_000
+FEW = 32
 BLOCK_BYTES = 2 << 20
 #: Share of bits in which texts at the least similarity differ (angle of sets
-#: with cosine 2J / (1 + J)), and the distance that RECALL of them keep within.
+#: with cosine 2J / (1 + J)), and the distance that 0.9988 of them keep within.
 DIFFER = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 DISTANCE = math.ceil(BITS * DIFFER + 2.9 * math.sqrt(BITS * DIFFER * (1 - DIFFER)))
 
@@ -100,9 +109,10 @@ def signatures(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(names: DataFrame) -> DataFrame:
+def _signed(names: DataFrame, most: int) -> DataFrame:
     """Per row of each block: node (24 bits for the row, the block's number above
-    them), doc_id, hash of the text (h1, h2), signature (s1, s2), n_shingles."""
+    them), doc_id, hash of the text (h1, h2), signature (s1, s2), n_shingles, and
+    the set itself (few) if it has at most so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,19 +124,39 @@ def _signed(names: DataFrame) -> DataFrame:
                 for name, a in (("h1", whole[:, 0]), ("h2", whole[:, 1]), ("s1", sig[:, 0]), ("s2", sig[:, 1])):
                     columns[name] = pa.array(np.ascontiguousarray(a).view(np.int64))
                 columns["n_shingles"] = pa.array(counts, pa.int64())
+                ends = np.cumsum(counts)
+                columns["few"] = pa.array([value[e - n : e].tobytes() if 0 < n <= most else None for n, e in zip(counts.tolist(), ends.tolist())], pa.binary())
                 yield from pa.table(columns).to_batches()
 
-    return staged(spread(names).mapInArrow(run, "node long, doc_id long, h1 long, h2 long, s1 long, s2 long, n_shingles long"), "signatures")
+    return staged(spread(names).mapInArrow(run, "node long, doc_id long, h1 long, h2 long, s1 long, s2 long, n_shingles long, few binary"), "signatures")
+
+
+def recall(depth: int, tries: int) -> float:
+    """Chance that a pair at the least similarity is near enough and shares a
+    prefix in a trie. A pair's distance is the same in all tries, so the chance is
+    that of each distance, with a prefix drawn without replacement."""
+    chance = 0.0
+    for h in range(DISTANCE + 1):
+        share = math.comb(BITS, h) * DIFFER**h * (1 - DIFFER) ** (BITS - h)
+        chance += share * (1 - (1 - math.comb(BITS - h, depth) / math.comb(BITS, depth)) ** tries)
+    return chance
+
+
+def tries_at(depth: int) -> int:
+    """The fewest tries that reach RECALL with prefixes of this depth."""
+    high = 1
+    while recall(depth, high) < RECALL:
+        high *= 2
+    return bisect.bisect_left(range(high + 1), True, lo=1, key=lambda t: recall(depth, t) >= RECALL)
 
 
 def forest_shape(n: int) -> tuple[int, int]:
     """Depth of the prefix and number of tries for n signatures: from the depth
     that leaves NODE_ROWS in a node, climb until MOST_TRIES reach the recall."""
     depth = max(1, math.ceil(math.log2(max(2, n / NODE_ROWS))))
-    need = lambda d: math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** d))
-    while depth > 1 and need(depth) > MOST_TRIES:
+    while depth > 1 and (depth > BITS - DISTANCE or recall(depth, MOST_TRIES) < RECALL):
         depth -= 1
-    return depth, need(depth)
+    return depth, tries_at(depth)
 
 
 def _prefixes(s1: np.ndarray, s2: np.ndarray, depth: int, tries: int) -> Iterator[np.ndarray]:
@@ -147,13 +177,16 @@ def _nearest(s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First round within a node: (i, j) where i named j."""
     m = len(s1)
     if m <= CROWD:
-        d = _far(s1, s2, s1, s2).astype(np.int16)
-        np.fill_diagonal(d, 999)
-        near = np.argsort(d, axis=1, kind="stable")[:, :2]
-        i = np.repeat(np.arange(m), near.shape[1])
-        j = near.ravel()
-        ok = d[i, j] <= DISTANCE
-        return i[ok], j[ok]
+        d = _far(s1, s2, s1, s2)
+        np.fill_diagonal(d, 255)
+        i, out_i, out_j = np.arange(m), [], []
+        for _ in range(2):
+            j = d.argmin(axis=1)
+            ok = d[i, j] <= DISTANCE
+            out_i.append(i[ok])
+            out_j.append(j[ok])
+            d[i, j] = 255
+        return np.concatenate(out_i), np.concatenate(out_j)
     out_i, out_j = [], []
     left = np.arange(m)
     for _ in range(16):  # leaders, each from those that no leader is near yet
@@ -228,6 +261,68 @@ def _candidates(nodes: DataFrame, shape: tuple[int, int]) -> DataFrame:
     return pairs.groupBy(F.shiftright("key", finer).alias("bucket")).applyInArrow(compare, "a long, b long").distinct()
 
 
+def _spanning(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that span the components of these sets, each set compared with all
+    that no link has reached yet."""
+    sizes = np.array([len(x) for x in sets])
+    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    waiting, left = np.ones(len(sets), bool), len(sets)
+    out_i, out_j = [], []
+    for root in range(len(sets)):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        left -= 1
+        reached = [root]
+        while reached and left:
+            i = reached.pop()
+            places = zip(np.searchsorted(value, sets[i]).tolist(), np.searchsorted(value, sets[i], side="right").tolist())
+            both = np.bincount(np.concatenate([row[x:y] for x, y in places]), minlength=len(sets))
+            near = np.flatnonzero(waiting & (both >= similarity * (sizes[i] + sizes - both))).tolist()
+            waiting[near] = False
+            left -= len(near)
+            reached += near
+            out_i += [i] * len(near)
+            out_j += near
+    return out_i, out_j
+
+
+def _few_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b of sets(node, few) that span the components of all links among
+    them. Of n hashes in order, the first n - ceil(similarity * n) + 1 cannot all
+    be missing from a set as similar."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = batch.column("few").to_pylist()
+            sizes = np.array([len(x) // 8 for x in few], dtype=np.int64)
+            first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+            row = np.repeat(np.arange(len(few)), first)
+            at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(first) - first), first) + np.arange(first.sum())
+            key = np.frombuffer(b"".join(few), np.int64)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(row)) for c in batch.columns)], names=["key", "node", "few"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        key, node = group.column("key").to_numpy(), group.column("node").to_numpy()
+        order = np.lexsort((node, key))
+        few = group.column("few")
+        cuts = np.append(np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]), len(key))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            if end - start > 1:
+                own = order[start:end]
+                i, j = _spanning([np.frombuffer(x, U64) for x in few.take(pa.array(own)).to_pylist()], similarity)
+                a.append(node[own][i])
+                b.append(node[own][j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    keys = sets.select("node", "few").mapInArrow(keyed, "key long, node long, few binary")
+    buckets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets.count() // FEW_ROWS)
+    return keys.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(compare, "a long, b long").distinct()
+
+
 def _sets(place: dict, rows: np.ndarray) -> dict[int, np.ndarray]:
     """Shingle sets of rows of a block, by row."""
     rows = np.unique(rows)
@@ -297,13 +392,14 @@ def components(edges: DataFrame) -> DataFrame:
 def _members(documents: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The blocks' names, and node, doc_id, class (a node) of every row."""
     names = write_blocks(documents, block_bytes=BLOCK_BYTES)
-    rows = _signed(names)
-    exact = rows.groupBy("h1", "h2").agg(F.min(F.struct("node", "s1", "s2", "n_shingles")).alias("first"))
+    rows = _signed(names, int(FEW / similarity + 1e-9))
+    exact = rows.groupBy("h1", "h2").agg(F.min(F.struct("node", "s1", "s2", "n_shingles", "few")).alias("first"))
     texts = staged(exact.select("h1", "h2", "first.*"), "texts")
-    nodes = texts.where("n_shingles > 0").select("node", "s1", "s2")
+    short = _few_links(texts.where("few is not null"), similarity)
+    nodes = texts.where(F.col("n_shingles") > FEW).select("node", "s1", "s2")
     shape = forest_shape(nodes.count())
     pairs = staged(_candidates(nodes, shape), "pairs")
-    linked = staged(_verify(names, pairs, similarity), "links")
+    linked = staged(_verify(names, pairs, similarity).unionByName(short), "links")
     known = nodes.join(components(linked), "node", "left").select("node", "s1", "s2", F.coalesce("label", "node").alias("label"))
     more = _candidates(staged(known, "labelled"), shape).join(pairs, ["a", "b"], "left_anti")
     final = components(linked.unionByName(staged(_verify(names, staged(more, "pairs"), similarity), "links")))

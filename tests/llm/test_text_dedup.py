@@ -120,6 +120,39 @@ def test_second_round_finds_what_crowds_hide():
     assert {(a, b) for a, b in zip(x.tolist(), y.tolist()) if label[a] == 0} == {(a, b) for b in rest for a in range(n) if label[a] == 0}
 
 
+def test_forest_reaches_its_recall():
+    rng = np.random.default_rng(11)
+    n = 4000
+    for similarity, size in ((0.8, 90), (0.8, 450), (0.85, 360)):
+        own = round(size * (1 - similarity) / (1 + similarity))  # shingles that only one of the two has
+        h = rng.integers(0, 1 << 64, (n, size + own), dtype=np.uint64)
+        one, two = (simhash.signatures(np.sort(x, axis=1).ravel(), np.full(n, size)) for x in (h[:, :size], h[:, own:]))
+        near = np.bitwise_count(one ^ two).sum(axis=1) <= simhash.DISTANCE
+        for depth in range(11, 18):
+            assert simhash.forest_shape((simhash.NODE_ROWS << depth))[0] == min(depth, 16)
+            tries = simhash.forest_shape(simhash.NODE_ROWS << depth)[1]
+            met = np.zeros(n, bool)
+            for x, y in zip(simhash._prefixes(*one.T, min(depth, 16), tries), simhash._prefixes(*two.T, min(depth, 16), tries)):
+                met |= x == y
+            assert (met & near).mean() >= 0.992, (similarity, size, depth, tries)  # 0.995 less three deviations
+
+
+def test_few_shingles_are_found_exactly(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in [*range(4, 45), *range(4, 45)]:
+        base = [rnd.choice(words) for _ in range(n)]
+        end = (n - 4) // 4  # shingles more than the base has, as far as 0.8 allows
+        for extra in {0, 1, end // 2, end, end + 1}:
+            rows.append((len(rows), " ".join(base + [rnd.choice(words) for _ in range(extra)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = defaultdict(list)
+    for r in simhash.near_duplicates(df).collect():
+        found[r.class_id].append(r.doc_id)
+    assert Counter(tuple(sorted(v)) for v in found.values()) == _brute_classes(rows)
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, rnd.randrange(101, 200)) for _ in range(60)] + [(300, 301), (301, 300), (7, 7)]
