@@ -6,7 +6,10 @@ and roles are one node of the tree. For each the entropies of its presentation
 computed over the pages that have the node, in units of the largest possible
 entropy. A branch that looks and reads the same on many pages has low importance
 and is cut from each page; so is one whose tag, class, id or role says that it is
-no part of an article. Of what is left, the text of article elements is taken if
+no part of an article. Inside an article a block is cut for low importance only if
+the content of the article itself differs from page to page, so that an article
+which pages share stays whole; inline elements and articles within articles are
+not cut there. Of what is left, the text of article elements is taken if
 there is any, else of the main element, else all.
 
 Only counts of (host, node, presentation) and (host, node, content) are shuffled,
@@ -35,6 +38,8 @@ from lodestone.llm.common import bound_arrow, staged
 #: A node is judged by its importance from so many pages on, and cut below this.
 LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.25
+#: The entropy of content from which on articles differ, so that what repeats in them is cut.
+DIFFERENT = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|noembed|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\b[^>]*>|.*\Z)"
@@ -176,10 +181,10 @@ def _named_out(tag: str, found: dict, in_article: bool) -> bool:
 
 class _Text(_Walker):
     """Blocks of text outside of cut branches, by where they are: in an article,
-    in the main element, elsewhere."""
+    in the main element, elsewhere. Level 3 is an article in which the tree cuts."""
 
-    def __init__(self, page: str, low: frozenset):
-        self.low = low
+    def __init__(self, page: str, low: frozenset, shared: frozenset):
+        self.low, self.shared = low, shared
         self.blocks: tuple[list, list, list] = ([], [], [])
         self.parts: list[str] = []
         self.level = 0
@@ -196,11 +201,13 @@ class _Text(_Walker):
     def element(self, tag, node, sign, found, closed):
         _, _, level, cut = self.stack[-1]
         level = level or 0
+        article = tag == "article" or found.get("role") == "article" or found.get("itemprop", "").lower() == "articlebody"
         if not cut:
             # An article that many pages share is still their text.
-            cut = _named_out(tag, found, level == 2) or (level < 2 and node in self.low and tag not in ("html", "body", "article", "main"))
-        if tag == "article" or found.get("role") == "article" or found.get("itemprop", "").lower() == "articlebody":
-            level = 2
+            judged = tag not in ("html", "body", "article", "main") if level < 2 else level == 3 and tag in _BLOCKS and not article
+            cut = _named_out(tag, found, level >= 2) or (judged and node in self.low)
+        if article:
+            level = 2 if node in self.shared else 3
         elif (tag == "main" or found.get("role") == "main") and level < 1:
             level = 1
         if not closed:
@@ -209,7 +216,7 @@ class _Text(_Walker):
     def text(self, raw):
         _, _, level, cut = self.stack[-1]
         if not cut:
-            self.level = level or 0
+            self.level = min(level or 0, 2)
             self.parts.append(raw)
 
     def result(self) -> str:
@@ -217,8 +224,8 @@ class _Text(_Walker):
         return "\n".join(article or main or elsewhere)
 
 
-def main_text(page: str | None, low: frozenset = frozenset()) -> str:
-    return _Text(page or "", low).result()
+def main_text(page: str | None, low: frozenset = frozenset(), shared: frozenset = frozenset()) -> str:
+    return _Text(page or "", low, shared).result()
 
 
 def host(url):
@@ -255,15 +262,18 @@ def importance(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     tree = importance(pages)
-    low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.greatest("looks", "says") < LEAST_IMPORTANCE))
-    cut = staged(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low-importance")
+    low, shared = F.greatest("looks", "says") < LEAST_IMPORTANCE, F.col("says") < DIFFERENT
+    some = tree.where((F.col("pages") >= LEAST_PAGES) & (low | shared))
+    nodes = lambda which, name: F.collect_list(F.when(which, F.col("node"))).alias(name)
+    cut = staged(some.groupBy("host").agg(nodes(low, "low"), nodes(shared, "shared")), "low-importance")
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     joined = keyed.join(F.broadcast(cut) if cut.count() <= broadcast_rows else cut, "host", "left")
 
     @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, low in batches:
-            yield pd.Series([main_text(p, frozenset(x) if x is not None else frozenset()) for p, x in zip(page, low)], dtype=object)
+    def text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = lambda x: frozenset(x) if x is not None else frozenset()
+        for page, low, shared in batches:
+            yield pd.Series([main_text(p, known(x), known(y)) for p, x, y in zip(page, low, shared)], dtype=object)
 
-    out = joined.withColumn("text", text("html", "low"))
+    out = joined.withColumn("text", text("html", "low", "shared"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

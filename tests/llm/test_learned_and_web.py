@@ -173,6 +173,21 @@ def test_style_tree_cuts_what_repeats(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_style_tree_cuts_what_repeats_inside_articles(spark):
+    again = '<div class="k7">Read this on our app</div>'
+    inner = lambda i: f"<article><h1>Title {i}</h1><p>Story <b>not</b> {i * 7}</p>{again}<p>end {i}</p></article>"
+    data = [(i, "http://h.com/x", f"<body>{inner(i)}</body>") for i in range(12)]
+    data += [(100 + i, "http://same.com/x", f"<body>{inner(3)}<div>{i}</div></body>") for i in range(12)]
+    data += [(200 + i, "http://body.com/x", f'<article><h1>Title {i}</h1><div itemprop="articleBody"><p>shared</p></div></article>') for i in range(12)]
+    data += [(300 + i, "http://few.com/x", f"<body>{inner(i)}</body>") for i in range(7)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(*d, "x") for d in data], PAGES)).collect()}
+    whole = lambda i: f"Title {i}\nStory not {i * 7}\nRead this on our app\nend {i}"
+    for i in range(12):
+        assert got[i] == f"Title {i}\nStory not {i * 7}\nend {i}"
+        assert got[100 + i] == whole(3) and got[200 + i] == f"Title {i}\nshared"
+        assert i > 6 or got[300 + i] == whole(i)
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 24))
