@@ -197,9 +197,16 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, ef: int | None
     ``allowed`` (entry_id) only those are admitted."""
     rows = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    asked = [(r.query_id, np.array(r.embedding, dtype=np.float64)) for r in rows]
+        parts = -(-queries.count() // (MOST_QUERIES // 2))
+        near = None
+        for i in range(parts):
+            part = search_graphs(graphs, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), k, ef, allowed, shards, params)
+            near = part if near is None else near.unionByName(part)
+        return near
     kind = queries.schema["query_id"].dataType.simpleString()
+    if not rows:
+        return graphs.sparkSession.createDataFrame([], f"query_id {kind}, entry_id long, dist double, rank int")
+    asked = [(r.query_id, np.array(r.embedding, dtype=np.float64)) for r in rows]
     schema = f"query_id {kind}, entry_id long, dist double"
 
     def found(graph: Graph, allow: np.ndarray | None) -> pa.Table:

@@ -139,6 +139,15 @@ def test_hnsw_shards(spark):
     assert all(i % 2 == 0 for i in ids(hnsw.search_graphs(graphs, queries, 5, 100, allowed, 3)))
 
 
+def test_hnsw_more_queries_go_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_unit(60, 8, 5))], "entry_id long, embedding array<double>")
+    graphs = hnsw.build_graphs(rows, 1).localCheckpoint()
+    queries = rows.where("entry_id < 11").select(F.col("entry_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, hnsw.search_graphs(graphs, queries, 3).collect()))
+    monkeypatch.setattr(hnsw, "MOST_QUERIES", 8)
+    assert len(whole) == 33 and sorted(map(tuple, hnsw.search_graphs(graphs, queries, 3).collect())) == whole
+
+
 def test_planner():
     p = lambda **kw: planner.plan(**({"k": 10, "mode": "hybrid", "diverse": False, "exact": False, "candidates": 5000, "graph_usable": True, "words_usable": True} | kw))
     assert p().use_graph and p().depth == 50 and p(k=20).depth == 80
