@@ -166,9 +166,9 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Le
                     seen.update(f if only is None else f & only)
                     n += 1
                     if len(seen) > 200_000:
-                        yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
+                        yield _counted(seen)
                         seen = Counter()
-            yield pd.DataFrame({"f": ["", *seen], "n": [n, *seen.values()]})
+            yield _counted(Counter({"": n}) + seen if n else seen)
 
         return rows.where((F.col("toxic") > 0) if wanted else (F.col("toxic") <= 0)).mapInPandas(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
@@ -189,6 +189,12 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Le
     return lexicon
 
 
+def _counted(seen: Counter) -> pd.DataFrame:
+    """Columns of a fixed type, also where a task has seen nothing: an empty list
+    would become a column of floats, which no longer is a string column."""
+    return pd.DataFrame({"f": np.array(list(seen), dtype=object), "n": np.array(list(seen.values()), dtype=np.int64)})
+
+
 def _exceptions(rows: DataFrame, lexicon: Lexicon) -> set[str]:
     """Phrases of two words, one of them matched, that clean texts hold at
     least three times and more often than toxic ones."""
@@ -202,7 +208,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> set[str]:
                     for phrase in _phrases(folded, end - n + 1):
                         if phrase.count(" ") == 3:
                             seen[phrase] += -1 if toxic > 0 else 1
-        yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
+        yield _counted(seen)
 
     sums = rows.mapInPandas(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     return {r.f for r in sums.where(F.col("n") >= 3).toLocalIterator()}
@@ -219,7 +225,7 @@ def _weigh(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
                 folded = fold_text(text)
                 weight.append(lexicon.matched(automaton, folded))
                 words.append(max(0, folded.count(" ") - 1))
-            yield batch[names].assign(weight=weight, words=words)
+            yield batch[names].assign(weight=np.array(weight, dtype=float), words=np.array(words, dtype=np.int64))
 
     return rows.mapInPandas(run, ", ".join([*keep, "weight double", "words long"]))
 

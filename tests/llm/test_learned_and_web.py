@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from lodestone.llm import ann, html_text, lm, toxicity, warc
+from lodestone.llm import ann, html_text, lm, queries, toxicity, warc
 
 
 def _tokens(text):
@@ -96,6 +96,31 @@ def test_toxicity_learns_and_folds(spark):
     assert toxicity.fold_text("L0SER​") == toxicity.fold_text("loser") != toxicity.fold_text("poser")
 
 
+def test_toxicity_fit_tasks_without_matches(spark):
+    """More tasks than labelled rows, so that some see no text and some no match."""
+    rows = [(i, "plain words only" if i % 2 else "vile vile slur here") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        lexicon = toxicity.fit(df, spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(80)], "doc_id long, toxic int"))
+        assert {r.doc_id for r in toxicity.score(df, lexicon).where("score > 0.5").collect()} == set(range(0, 80, 2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """As op9 learns: rows of two folds are fitted, those of the third judged."""
+    sf = "/root/testdata/sf0.01"
+    got = queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").select("doc_id", "score", "predicted")
+    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic").where("toxic is not null"), "doc_id").collect()
+    toxic, clean = ([r for r in rows if r.toxic == t] for t in (1, 0))
+    assert len(toxic) >= 5 and len(clean) >= 50
+    assert sum(r.predicted for r in toxic) >= 0.95 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    assert min(r.score for r in toxic) > sorted(r.score for r in clean)[int(0.97 * len(clean))]
+
+
 def test_exception_phrases():
     lexicon = toxicity.Lexicon({" moron ": 3.0}, {" harmless moron "})
     automaton = lexicon.automaton()
