@@ -76,7 +76,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     out = chat.read_back(chat.format_turns(rows))
-    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
 ORACLE_SQL["op5_chat_format"] = r"""
@@ -88,8 +88,13 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
-FROM rows GROUP BY conv_id
+  CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars,
+  bool_and(allowed) AND arg_max(role, place) = 'assistant' AS valid
+FROM (
+  SELECT *, CASE coalesce(lag(role) OVER w, '<start>') WHEN '<start>' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+      WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AS allowed,
+    row_number() OVER w AS place
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) GROUP BY conv_id
 """
 
 

@@ -34,11 +34,24 @@ def test_chat_round_trip(spark):
 
 def test_chat_empty_and_masks(spark):
     assert chat.read_back(chat.format_turns(spark.createDataFrame([], ROWS))).count() == 0
-    parts = chat.segments("assistant", "hi <|im_end|>", chat.ChatTemplate())
-    assert [p["loss"] for p in parts] == [False, True, False]
+    machine = chat.Machine(chat.ChatTemplate())
+    assert machine.step("user", "x")[1] and not machine.complete()
+    parts, ok = machine.step("assistant", "hi <|im_end|>")
+    assert ok and machine.complete() and [p["loss"] for p in parts] == [False, True, False]
+    again, ok = machine.step("assistant", "more")
+    assert not ok and not machine.complete() and [p["loss"] for p in again] == [False, True, False]
+    strict = chat.Machine(chat.ChatTemplate(unexpected="mask"))
+    assert not any(p["loss"] for p in strict.step("assistant", "first")[0])
     assert "<|" not in parts[1]["text"]
 
 
+def test_chat_ids_stay_whole(spark):
+    big = 1 << 53
+    data = [(big + k, t, r, f"{k}", "x") for k in (0, 1, 2) for t, r in enumerate(("user", "assistant"))] + [(None, 0, "user", "n", "x")]
+    out = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(data, ROWS).coalesce(1))).collect()}
+    assert out.keys() == {big, big + 1, big + 2, None} and all(out[big + k].n_turns == 2 and out[big + k].valid for k in (0, 1, 2))
+
+
 @given(st.text(alphabet="<|\\ab\n", max_size=40))
 def test_escape_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
