@@ -81,6 +81,8 @@ def write_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_B
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, number
+            if number >> 16 != TaskContext.get().partitionId():
+                raise ValueError("more than 65536 blocks in a partition: give the rows more partitions")
             name = uuid.uuid4().hex
             with fs.open_output_stream(f"{where}/{name}", compression=None) as out, pa.ipc.new_file(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for b in held:
@@ -151,10 +153,10 @@ def bucket_cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)]])
 
 
-def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], buckets: int, answers: DataFrame | None = None) -> DataFrame:
+def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], buckets: int, answers: DataFrame | None = None, blocks: int = 1) -> DataFrame:
     """Rows bucket int, number long, blob binary: per block and bucket, the
     block's sorted keys and the arrays beside them. ``question`` gets the block,
-    and what was answered before if ``answers`` is given."""
+    and what was answered before if ``answers`` is given (for so many blocks)."""
 
     def rows(number: int, found: tuple[np.ndarray, list[np.ndarray]]) -> pa.Table:
         keys, beside = found
@@ -177,7 +179,7 @@ def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[
         r = left.to_pylist()[0]
         return rows(r["number"], question(read_block(r["folder"], r["block"]), answered(right)))
 
-    return _side_by_side(names, answers, buckets).applyInArrow(again, "bucket int, number long, blob binary")
+    return _side_by_side(names, answers, blocks).applyInArrow(again, "bucket int, number long, blob binary")
 
 
 def _tasks(blocks: int) -> int:
@@ -205,14 +207,14 @@ def answered(answers: pa.Table) -> list[bytes]:
 
 def merge(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]], name: str, buckets: int) -> DataFrame:
     """Answer each bucket: ``answer`` gets the blobs of all blocks and returns
-    one for each, in the same order. The result is stored."""
+    one for each, in the same order. A task has one bucket. The result is stored."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("number")  # the same whatever the order of arrival
         out = answer(group.column("blob").to_pylist())
         return pa.table({"bucket": group.column("bucket"), "number": group.column("number"), "blob": pa.array(out, pa.binary())})
 
-    return staged(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "bucket int, number long, blob binary"), name)
+    return staged(asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(run, "bucket int, number long, blob binary"), name)
 
 
 def finish(names: DataFrame, answers: list[DataFrame], last: Callable[..., pa.Table], schema: str, blocks: int) -> DataFrame:

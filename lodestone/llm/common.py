@@ -2,13 +2,15 @@
 
 Intermediate tables go to the folder that the session names in
 ``spark.checkpoint.dir`` (shared by all executors), never to a machine-local
-folder on a cluster; only a session that names none gets a folder of its own.
+folder on a cluster; only a local session that names none gets a folder of its own.
 """
 
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -42,18 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session as a URI, without a trailing slash."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", where)
     return (where if "://" in where or where.startswith("file:") else "file://" + where).rstrip("/")
 
 
-#: Paths handed out while ``recorded`` is in force.
-_recording: list[list[str]] = []
+#: Paths handed out in this thread while ``recorded`` is in force.
+_recording = threading.local()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for paths in _recording:
+    for paths in getattr(_recording, "lists", []):
         paths.append(path)
     return path
 
@@ -62,11 +66,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def recorded() -> Iterator[list[str]]:
     """The paths that are handed out within, for later removal."""
     paths: list[str] = []
-    _recording.append(paths)
+    before = getattr(_recording, "lists", [])
+    _recording.lists = [*before, paths]
     try:
         yield paths
     finally:
-        _recording.pop(next(i for i, p in enumerate(_recording) if p is paths))
+        _recording.lists = before
 
 
 def remove_unused(paths: list[str], by: DataFrame) -> None:

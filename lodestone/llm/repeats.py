@@ -168,7 +168,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         return keys, [np.minimum(n, 2).astype("u1")]
 
     states = merge(ask(names, pairs, buckets), _classify, "repeat-runs", buckets)
-    counts = merge(ask(names, edges, buckets, states), _count, "repeat-windows", buckets)
+    counts = merge(ask(names, edges, buckets, states, blocks), _count, "repeat-windows", buckets)
 
     def last(table: pa.Table, state: list[bytes], twice: list[bytes]) -> pa.Table:
         b = _Block(table, length)
