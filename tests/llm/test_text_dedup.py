@@ -111,8 +111,8 @@ def test_second_round_finds_what_crowds_hide():
     n = 3000
     s1 = base[0] ^ (np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64))
     s2 = base[1] ^ (np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64))
-    i, j = simhash._nearest(s1, s2)
-    assert len(i) < 10 * n  # a crowd's pairs are not all emitted
+    i, j, more = simhash._nearest(s1, s2)
+    assert len(i) <= 2 * n and more.all()  # a crowd's pairs are not all emitted
     label = np.zeros(n, np.int64)
     label[::1000] = np.arange(3) + 1
     x, y = simhash._across(s1, s2, label)
@@ -137,6 +137,58 @@ def test_forest_reaches_its_recall():
             assert (met & near).mean() >= 0.992, (similarity, size, depth, tries)  # 0.995 less three deviations
 
 
+def test_split_nodes_keep_their_pairs():
+    rng = np.random.default_rng(12)
+    n, size = 4000, 180
+    own = round(size * 0.2 / 1.8)
+    h = rng.integers(0, 1 << 64, (n, size + own), dtype=np.uint64)
+    one, two = (simhash.signatures(np.sort(x, axis=1).ravel(), np.full(n, size)) for x in (h[:, :size], h[:, own:]))
+    near = np.bitwise_count(one ^ two).sum(axis=1) <= simhash.DISTANCE
+    for depth, rows in ((2, 70_000), (8, 70_000), (8, 1_000_000)):
+        order = simhash._orders(1)[0]
+        shared = simhash._bits(*one.T, 0, order[:depth]) == simhash._bits(*two.T, 0, order[:depth])
+        shape = simhash.split_shape(rows, depth)
+        assert rows >> shape[0] <= 2 * simhash.NODE_ROWS
+        met = np.zeros(n, bool)
+        for x, y in zip(*(simhash.split_keys(77, shape, depth, order, *s.T) for s in (one, two))):
+            met |= x == y
+        assert met[shared & near].mean() >= 0.997, (depth, rows, shape)
+
+
+def test_dense_nodes_are_found(spark):
+    rng = np.random.default_rng(13)
+    s = rng.integers(-(1 << 63), 1 << 63, (4000, 2))
+    s[:1500] = s[0]
+    nodes = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(s)], "node long, s1 long, s2 long").repartition(7)
+    found = simhash.dense_nodes(nodes, (4, 3), 1000)
+    keys = Counter(k for x in simhash._prefixes(*np.ascontiguousarray(s.T).view(np.uint64), 4, 3) for k in x.view(np.int64).tolist())
+    assert {k for k, n in keys.items() if n >= 1000} <= found.keys() <= {k for k, n in keys.items() if n >= 500}
+    assert simhash.dense_nodes(nodes, (4, 3), 5000) == {}
+
+
+def test_classes_are_the_same_when_nodes_are_split(spark, monkeypatch):
+    rows = _near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", 16)
+    monkeypatch.setattr(simhash, "NODE_ROWS", 8)
+    found = defaultdict(list)
+    for r in simhash.near_duplicates(df).collect():
+        found[r.class_id].append(-1 if r.doc_id is None else r.doc_id)
+    assert Counter(tuple(sorted(v)) for v in found.values()) == _brute_classes(rows)
+
+
+def test_sketches_deny_no_similar_pair():
+    rng = np.random.default_rng(14)
+    for size in (5, 40, 200, 1000):
+        for similarity, most in ((0.8, 1.0), (0.3, 0.35)):
+            own = int(size * (1 - similarity) / (1 + similarity))
+            h = rng.integers(0, 1 << 64, (500, size + own), dtype=np.uint64)
+            one, two = (simhash.sketches(np.sort(x, axis=1).ravel(), np.full(500, size)) for x in (h[:, :size], h[:, own:]))
+            kept = np.mean([simhash.may_be_similar(a, b, 0.8) for a, b in zip(one, two)])
+            assert kept == 1.0 if similarity == 0.8 else kept <= most or size < 40
+    assert simhash.may_be_similar(*simhash.sketches(np.zeros(0, np.uint64), np.array([0, 0])), 0.8)
+
+
 def test_few_shingles_are_found_exactly(spark):
     rnd = random.Random(12)
     words = [f"w{i}" for i in range(3000)]
