@@ -112,13 +112,12 @@ def test_toxicity_fit_tasks_without_matches(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     """As op9 learns: rows of two folds are fitted, those of the third judged."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").select("doc_id", "score", "predicted")
     rows = got.join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic").where("toxic is not null"), "doc_id").collect()
     toxic, clean = ([r for r in rows if r.toxic == t] for t in (1, 0))
-    assert len(toxic) >= 5 and len(clean) >= 50
-    assert sum(r.predicted for r in toxic) >= 0.95 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
-    assert min(r.score for r in toxic) > sorted(r.score for r in clean)[int(0.97 * len(clean))]
+    assert len(toxic) >= 100 and len(clean) >= 1000
+    assert sum(r.predicted for r in toxic) >= 0.92 * len(toxic) and sum(r.predicted for r in clean) <= 0.005 * len(clean)
 
 
 def test_exception_phrases():
