@@ -212,13 +212,15 @@ def test_style_tree_cuts_what_repeats_inside_articles(spark):
         assert i > 6 or got[300 + i] == whole(i)
 
 
-def test_ann_recall_and_edges(spark):
+def test_ann_recall_and_edges(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 24))
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 24), (2003, [float("nan")] * 24), (2004, [None] * 24), (2020, [1.0, 2.0]), (None, [1.0] * 24), (2040, rows[0][1]), (2041, rows[0][1])]
     df = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, score string").repartition(3)
-    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, shard_rows=400).collect()
+    monkeypatch.setattr(ann, "PART_ROWS", 150)
+    monkeypatch.setattr(ann, "PART_QUERIES", 20)
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, cell_rows=200).collect()
     near = defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         near[r.query_id].append((r.vec_id, r.score))
@@ -233,3 +235,32 @@ def test_ann_recall_and_edges(spark):
         total += 20
     assert hits / total >= 0.9
     assert 2020 not in near and ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_ann_meets_a_smaller_share_of_a_larger_table():
+    """Of rows in clusters, the needed share falls as the table grows."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((4000, 16)) * 3
+    share = []
+    for n in (4000, 16_000):
+        x = centres[rng.integers(0, n // 8, n) % len(centres)] + rng.standard_normal((n, 16)) * 0.2
+        forest = ann.Forest(x, n // 100)
+        cells = forest.cells_of(x)
+        sizes = np.bincount(cells.ravel(), minlength=forest.cells)
+        assert sizes.sum() == 2 * n
+        s = x[:60] @ x.T
+        s[np.arange(60), np.arange(60)] = -np.inf
+        truth = [cells[np.argsort(-r)[:5]].tolist() for r in s]
+        share.append(ann.needed(forest, sizes, x[:60], truth, 0.95) / n)
+    assert share[1] < share[0]
+
+
+def test_ann_queries_whose_cells_hold_only_themselves(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(20, [5.0] * 8)] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, df.where("vec_id = 20"), k=20, cell_rows=60).collect()
+    q = min(v for i, v in rows if i == 20)
+    truth = sorted(((-float(np.array(v) @ q), i) for i, v in rows if i != 20))[:20]
+    assert len(got) == 20 and len({r.vec_id for r in got} & {i for _, i in truth}) >= 16
