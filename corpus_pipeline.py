@@ -47,30 +47,39 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
+_PLAIN: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", drop_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Intermediate files of the stage called last, by its place in the list.
+_left: dict[int, list[str]] = {}
 
 
-def _tidy(stage: Stage) -> Stage:
-    """A stage that first removes the intermediate files of the stage before,
-    whose result has been written and reread by now."""
+def _tidy(place: int, stage: Stage) -> Stage:
+    """A stage for callers that write each result before they call the next one: it
+    removes the intermediate files of the stage just before it, unless ``docs`` still
+    reads them. What the last stage leaves stays, as its result is still to be read,
+    and no stage removes anything when the first one is called anew."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_unused(_left, docs)
+        before = _left.pop(place - 1, None)
+        if before:
+            remove_unused(before, docs)
         with recorded() as paths:
             out = stage(spark, docs, sf_dir)
-        _left.extend(paths)
+        _left.clear()
+        if place < len(_PLAIN) - 1:
+            _left[place] = paths
         return out
 
     return run_stage
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", _tidy(drop_toxic)),
-    ("near_duplicates", _tidy(drop_near_duplicates)),
-    ("repeats", _tidy(drop_repeats)),
-    ("decontamination", _tidy(drop_contaminated)),
-    ("packing", _tidy(pack)),
-]
+STAGES: list[tuple[str, Stage]] = [(name, _tidy(i, stage)) for i, (name, stage) in enumerate(_PLAIN)]
 
 #: None of the later stages is SQL: signatures, hashes of windows, token ids.
 ORACLE_SQL = None
@@ -78,6 +87,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in _PLAIN[:-1]:
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        docs = staged(out, f"stage-{name}")
+        remove_unused(paths, docs)  # this run's own, and written by now
+    return _PLAIN[-1][1](spark, docs, sf_dir)
