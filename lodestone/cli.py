@@ -54,14 +54,20 @@ def completions(shell: str) -> str:
     if shell == "bash":
         cases = "\n".join(f"    {c}) COMPREPLY=($(compgen -W '{' '.join(o)}' -- \"$cur\"));;" for c, o in COMMANDS.items())
         return f"_lodestone() {{\n  local cur=${{COMP_WORDS[COMP_CWORD]}}\n  case ${{COMP_WORDS[1]}} in\n{cases}\n    *) COMPREPLY=($(compgen -W '{words}' -- \"$cur\"));;\n  esac\n}}\ncomplete -F _lodestone lodestone"
+    options = {c: " ".join(o) for c, o in COMMANDS.items()}
     if shell == "zsh":
-        return f"#compdef lodestone\n_arguments '1:command:({words})' '*:option:->rest'"
+        cases = "\n".join(f"    {c}) compadd -- {o};;" for c, o in options.items() if o)
+        return f"#compdef lodestone\n_lodestone() {{\n  if (( CURRENT == 2 )); then compadd -- {words}; return; fi\n  case ${{words[2]}} in\n{cases}\n  esac\n}}\n_lodestone \"$@\""
     if shell == "fish":
-        return "\n".join(f"complete -c lodestone -n __fish_use_subcommand -a {c}" for c in COMMANDS)
+        lines = [f"complete -c lodestone -n __fish_use_subcommand -a {c}" for c in COMMANDS]
+        flags = lambda o: f"-l {o[2:]}" if o.startswith("--") else f"-s {o[1:]}"
+        return "\n".join(lines + [f"complete -c lodestone -n '__fish_seen_subcommand_from {c}' {flags(o)}" for c, os_ in COMMANDS.items() for o in os_])
     if shell == "elvish":
-        return f"set edit:completion:arg-completer[lodestone] = {{|@a| put {words} }}"
+        cases = " ".join(f"&{c}=[{o}]" for c, o in options.items())
+        return f"set edit:completion:arg-completer[lodestone] = {{|@a| var o = [{cases}]; if (and (> (count $a) 2) (has-key $o $a[1])) {{ put $@o[$a[1]] }} else {{ put {words} }} }}"
     items = ", ".join(f"'{c}'" for c in COMMANDS)
-    return f"Register-ArgumentCompleter -Native -CommandName lodestone -ScriptBlock {{ param($w) @({items}) | Where-Object {{ $_ -like \"$w*\" }} }}"
+    cases = "; ".join(f"'{c}' = @({', '.join(repr(x) for x in o)})" for c, o in COMMANDS.items())
+    return f"Register-ArgumentCompleter -Native -CommandName lodestone -ScriptBlock {{ param($w, $line) $o = @{{ {cases} }}; $c = \"$line\".Split(' ')[1]; $all = if ($o.ContainsKey($c) -and $c -ne $w) {{ $o[$c] }} else {{ @({items}) }}; $all | Where-Object {{ $_ -like \"$w*\" }} }}"
 
 
 def _session():
@@ -90,7 +96,10 @@ def run(args) -> int:
     if args.command == "init":
         from lodestone.embed import EmbeddingConfig, HashedEmbedder, OnnxEmbedder
 
-        (OnnxEmbedder(EmbeddingConfig(path=args.model_path)) if args.model_path else HashedEmbedder()).validate()
+        embedder = OnnxEmbedder(EmbeddingConfig(path=args.model_path)) if args.model_path else HashedEmbedder()
+        if args.force:
+            embedder.forget()
+        embedder.validate()
         say("ready")
         return 0
     engine = _engine(args)

@@ -41,6 +41,9 @@ class Embedder:
 
     def validate(self) -> None: ...
 
+    def forget(self) -> None:
+        """Drop what this process keeps of the model's files."""
+
     def embed(self, df: DataFrame, text: str, to: str = "embedding") -> DataFrame:
         """``df`` with the column ``to``, through one Arrow stage."""
         names = [c for c in df.columns if c != to]
@@ -65,7 +68,7 @@ class HashedEmbedder(Embedder):
         return f"hashed-{self.dim}"
 
     def prepare(self, text: Column) -> Column:
-        return F.transform(tokenize(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t))
+        return F.transform(tokenize(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(8)), 16, 10).cast("long"))
 
     def vectors(self):
         """Signed counts of hashed tokens."""

@@ -1,8 +1,10 @@
 """BM25 over normalised tables: postings, document statistics, corpus statistics.
 
-Scoring touches only the postings of the query's terms; the query side and the
-one-row statistics are broadcast, and the sums per document are combined before
-they are shuffled.
+Scoring touches only the postings of the query's terms; the query side, if its
+terms are few enough, and the one-row statistics are broadcast, and the sums per
+document are combined before they are shuffled. Over texts that were not indexed, a
+search tokenizes once and shuffles a row per text and one per term that the queries
+have too.
 """
 
 from __future__ import annotations
@@ -21,6 +23,15 @@ class Bm25Params:
     b: float = 0.75
 
 
+#: Distinct terms of all queries, and terms of each query, that are broadcast.
+BROADCAST_TERMS = 1_000_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted to be small enough, else joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
 def _spread(docs: DataFrame) -> DataFrame:
     """Few files make few tasks; tokenizing is worth more of them."""
     many = docs.sparkSession.sparkContext.defaultParallelism
@@ -58,11 +69,17 @@ def document_frequency(postings: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
+def _like(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """A row per row of ``other`` at most, so broadcast where that is."""
+    return F.broadcast(rows) if other.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
 @dataclass
 class Bm25Index:
     postings: DataFrame  # term, entry_id, tf
     lengths: DataFrame  # entry_id, len
     params: Bm25Params = Bm25Params()
+    docs: DataFrame | None = None  # the texts, where the tables are not stored
 
     @staticmethod
     def build(docs: DataFrame, params: Bm25Params = Bm25Params()) -> Bm25Index:
@@ -71,11 +88,12 @@ class Bm25Index:
         postings = term_frequencies(_spread(docs)).select("term", "entry_id", "tf")
         sums = postings.groupBy("entry_id").agg(F.sum("tf").alias("len"))
         lengths = docs.select("entry_id").join(sums, "entry_id", "left").select("entry_id", F.coalesce("len", F.lit(0).cast("long")).alias("len"))
-        return Bm25Index(postings, lengths, params)
+        return Bm25Index(postings, lengths, params, docs)
 
     def add(self, docs: DataFrame) -> Bm25Index:
         more = Bm25Index.build(docs, self.params)
-        return Bm25Index(self.postings.unionByName(more.postings), self.lengths.unionByName(more.lengths), self.params)
+        both = self.docs.select("entry_id", "text").unionByName(docs.select("entry_id", "text")) if self.docs is not None else None
+        return Bm25Index(self.postings.unionByName(more.postings), self.lengths.unionByName(more.lengths), self.params, both)
 
     @property
     def stats(self) -> DataFrame:
@@ -88,17 +106,30 @@ class Bm25Index:
         """query_id, entry_id, score of queries(query_id, text) for entries that
         share a term. ``allowed`` (entry_id) admits entries; it changes no
         statistics. Each distinct term of a query counts once."""
-        terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-        wanted = self.postings.join(F.broadcast(terms.select("term").distinct()), "term")
+        terms = _small(queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")))
+        distinct = _small(terms.select("term").distinct())
+        if self.docs is None:
+            wanted, stats = self.postings.join(distinct, "term").join(self.lengths, "entry_id"), self.stats
+        else:
+            wanted, stats = self._met(distinct)
         df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weight = df.crossJoin(F.broadcast(self.stats)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+        weight = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
         admitted = wanted.join(allowed.select("entry_id"), "entry_id", "left_semi") if allowed is not None else wanted
         k1, b = self.params.k1, self.params.b
         tf = F.col("tf").cast("double")
         size = F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(F.lit(0.0))
         part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size))
-        scored = admitted.join(F.broadcast(weight), "term").join(self.lengths, "entry_id").select("term", "entry_id", part.alias("part"))
-        return scored.join(F.broadcast(terms), "term").groupBy("query_id", "entry_id").agg(F.sum("part").alias("score"))
+        scored = admitted.join(_like(weight, distinct), "term").select("term", "entry_id", part.alias("part"))
+        return scored.join(terms, "term").groupBy("query_id", "entry_id").agg(F.sum("part").alias("score"))
+
+    def _met(self, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """term, entry_id, tf, len of the terms given, and the statistics, from one
+        pass over the texts: what no query asks for is one row per text. Both come
+        from the same exchange, as neither filter can go below the aggregation."""
+        each = tokens(_spread(self.docs)).select("entry_id", F.size("tokens").cast("long").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+        asked = each.join(distinct.select("term", F.lit(1).alias("hit")), "term", "left")
+        met = asked.groupBy("entry_id", "len", F.when(F.col("hit").isNotNull(), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.max("hit").alias("hit"))
+        return met.where("hit is not null").select("term", "entry_id", "tf", "len"), corpus_stats(met.where("hit is null").select("len"))
 
     def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, entry_id, score, rank: the k best, ties to the lower id."""

@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.errors import DimensionMismatch
-from lodestone.operators.knn import MOST_QUERIES, keep_best
+from lodestone.operators.knn import MOST_QUERIES, keep_best, knn
 
 TOP_LEVEL = 16
+#: Entries of a graph; a table has as many graphs as it takes.
+SHARD_ROWS = 4096
+#: A search that comes back short is repeated so much wider.
+WIDEN = 4
 
 
 @dataclass(frozen=True)
@@ -236,3 +240,26 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, ef: int | None
         near = graphs.select("shard", "graph").groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(some, schema)
     order = Window.partitionBy("query_id").orderBy("dist", "entry_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def shards_for(entries: int) -> int:
+    return max(1, -(-entries // SHARD_ROWS))
+
+
+def search_escalating(graphs: DataFrame, entries: DataFrame, query: list[float], k: int, candidates: int, ef: int | None = None, filtered: bool = False, shards: int = 1) -> tuple[DataFrame, bool]:
+    """query_id (0), entry_id, dist, rank of the k nearest of ``entries``, which are
+    all that the graphs hold or, if ``filtered``, some. A search that finds fewer
+    than min(k, candidates) is repeated WIDEN times as wide, and after that the
+    entries are scanned; the flag tells whether the graphs were enough."""
+    spark = graphs.sparkSession
+    asked = spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<double>")
+    allowed = entries.select("entry_id") if filtered else None
+    enough, pool = False, entries
+    for width in (ef, max(ef or 0, HnswParams().ef_search) * WIDEN):
+        found = [r.entry_id for r in search_graphs(graphs, asked, k, width, allowed, shards).collect()]  # at most k
+        if len(found) >= min(k, candidates):
+            enough, pool = True, entries.where(F.col("entry_id").isin(found))
+            break
+    # Graphs hold single-precision vectors; what they found is measured exactly.
+    rows = [(0, r.entry_id, r.dist, i + 1) for i, r in enumerate(knn(pool, query, k).collect())]
+    return spark.createDataFrame(rows, "query_id long, entry_id long, dist double, rank int"), enough

@@ -16,18 +16,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.errors import DimensionMismatch
-from lodestone.functions.vectors import distance
+from lodestone.functions.vectors import distance, dot
 
 #: Queries of a batch are sent to every task, so their number is checked.
 MOST_QUERIES = 20_000
 
 
+def _constant(query: list[float]) -> Column:
+    return F.array(*(F.lit(float(x)) for x in query))
+
+
+def _checked(query: list[float]) -> Column:
+    """The entries' vectors; one of another dimension ends the query."""
+    message = f"[E3007] The query has {len(query)} components"
+    return F.when(F.size("embedding") == len(query), F.col("embedding")).otherwise(F.when(F.col("embedding").isNotNull(), F.raise_error(F.lit(message)).cast("array<float>")))
+
+
+def similarity(entries: DataFrame, entry_id: int, query: list[float]) -> DataFrame:
+    """entry_id, similarity of one entry with the query; no row for an unknown id."""
+    return entries.where(F.col("entry_id") == entry_id).select("entry_id", F.round(dot(_checked(query), _constant(query)), 6).alias("similarity"))
+
+
 def knn(entries: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """entry_id, dist, similarity of the k nearest of entries(entry_id, embedding)."""
     if where is not None:
         entries = entries.where(where)
-    vector = F.array(*(F.lit(float(x)) for x in query))
-    scored = entries.select("entry_id", (F.round(distance(F.col("embedding"), vector), 6) + 0.0).alias("dist"))  # + 0.0: no -0.0
+    scored = entries.select("entry_id", (F.round(distance(_checked(query), _constant(query)), 6) + 0.0).alias("dist"))  # + 0.0: no -0.0
     return scored.orderBy(F.col("dist").asc_nulls_last(), "entry_id").limit(k).withColumn("similarity", F.round(1 - F.col("dist"), 6))
 
 

@@ -20,9 +20,6 @@ from lodestone.plans.planner import Mode, Strategy
 from lodestone.sources import git
 from lodestone.sources.snapshots import IndexMeta, IndexStorage
 
-SHARD_ROWS = 4096
-
-
 @dataclass(frozen=True)
 class SearchRequest:
     query: str
@@ -74,6 +71,10 @@ class Engine:
     # --- building -----------------------------------------------------------
 
     def init(self, force: bool = False) -> None:
+        """Check the embedder; with ``force`` its files are read again, whatever
+        this process has found before."""
+        if force:
+            self.embedder.forget()
         self.embedder.validate()
 
     def _entries(self, commits: DataFrame, include_diffs: bool) -> DataFrame:
@@ -137,7 +138,7 @@ class Engine:
         entries = self.storage.load()[0]
         docs = entries.select("entry_id", doc_text(F.col("message"), F.col("author"), F.col("diff_summary")).alias("text"))
         words = bm25.Bm25Index.build(docs)
-        shards = max(1, -(-meta.total_commits // SHARD_ROWS))
+        shards = hnsw.shards_for(meta.total_commits)
         plans = {"postings": lambda: words.postings.sortWithinPartitions("term"), "doc_lengths": lambda: words.lengths}
         if meta.total_commits > self.exact_limit:
             plans["graphs"] = lambda: hnsw.build_graphs(entries, shards)
@@ -187,17 +188,8 @@ class Engine:
     def _nearest(self, allowed, entries, graphs, vector, p, ef, candidates, meta) -> tuple[DataFrame, Strategy]:
         strategy = Strategy.EXACT
         if p.use_graph:
-            query = self.spark.createDataFrame([(0, vector)], "query_id long, embedding array<double>")
-            shards = max(1, -(-meta.total_commits // SHARD_ROWS))
-            ids = None if allowed is None else allowed.select("entry_id")
-            for width in (ef, max(ef or 0, hnsw.HnswParams().ef_search) * planner.WIDEN):
-                near = hnsw.search_graphs(graphs, query, p.depth, width, ids, shards)
-                rows = near.collect()  # at most depth
-                if len(rows) >= min(p.depth, candidates):
-                    return self.spark.createDataFrame(rows, near.schema), Strategy.APPROXIMATE
-                if allowed is None:
-                    break
-            strategy = Strategy.APPROXIMATE_THEN_EXACT
+            near, enough = hnsw.search_escalating(graphs, allowed if allowed is not None else entries, vector, p.depth, candidates, ef, allowed is not None, hnsw.shards_for(meta.total_commits))
+            return near, Strategy.APPROXIMATE if enough else Strategy.APPROXIMATE_THEN_EXACT
         near = knn.knn(allowed if allowed is not None else entries, vector, p.depth)
         rows = [(0, r.entry_id, r.dist, i + 1) for i, r in enumerate(near.collect())]
         return self.spark.createDataFrame(rows, "query_id long, entry_id long, dist double, rank int"), strategy

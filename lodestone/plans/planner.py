@@ -7,8 +7,6 @@ from enum import Enum
 
 #: Up to so many candidates an exact scan is cheaper than a graph.
 EXACT_LIMIT = 2048
-#: A filtered graph search that comes back short is repeated this much wider.
-WIDEN = 4
 
 
 class Mode(str, Enum):

@@ -7,20 +7,26 @@ Commits are ``documents`` joined with ``events`` on their ids; vectors are
 
 from __future__ import annotations
 
-import tempfile
+import os
+import subprocess
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import errors
 from lodestone.embed import HashedEmbedder
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import bm25, fusion, hnsw, knn, merge, mmr
 from lodestone.operators.filters import SearchFilters, candidate_count
-from lodestone.output import json_document
+from lodestone.output import json_document, text_lines
+from lodestone.plans import planner
 from lodestone.plans.engine import Engine, SearchRequest, diversify, hybrid_ranking
 from lodestone.plans.planner import Mode, depth
+from lodestone.sources import git
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -333,24 +339,53 @@ def knn_batch(spark, d):
     return knn.knn_batch(vectors(spark, d), asked, K).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {VECS}, {Q} SELECT entry_id, round({_dot('embedding', 'qv')}, 6) AS similarity FROM vecs, q WHERE entry_id = 17")
+def similarity_by_id(spark, d):
+    return knn.similarity(vectors(spark, d), 17, first_vector(spark, d))
+
+
+@query(f"""WITH {VECS}, longer AS (SELECT entry_id, list_resize(embedding::DOUBLE[], 80, 0.0::DOUBLE) AS v FROM vecs), shorter AS (SELECT entry_id, (embedding::DOUBLE[])[1:10] AS v FROM vecs)
+SELECT entry_id, len(v)::BIGINT AS dim, place, round(v[place + 1], 6) AS value FROM (SELECT *, unnest(range(0, len(v))) AS place FROM (SELECT * FROM longer UNION ALL SELECT * FROM shorter))""")
+def vec_fit_dimension(spark, d):
+    rows = vectors(spark, d)
+    both = [rows.select("entry_id", F.lit(n).cast("long").alias("dim"), F.posexplode(V.fit_dimension(F.col("embedding"), n)).alias("place", "value")) for n in (80, 10)]
+    return both[0].unionByName(both[1]).select("entry_id", "dim", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
+
+
 def _graphs(spark, d) -> tuple[DataFrame, DataFrame, int]:
     rows = vectors(spark, d)
-    shards = max(1, -(-rows.count() // 1024))
+    shards = hnsw.shards_for(rows.count())
     return rows, hnsw.build_graphs(rows, shards), shards
 
 
-@query()
+_NEAR = "SELECT 0::BIGINT AS query_id, entry_id, dist, rank FROM near WHERE rank <= "
+
+
+@query(f"WITH {VECS}, {_knn('vecs')} {_NEAR} {K}")
 def knn_approx(spark, d):
-    _, graphs, shards = _graphs(spark, d)
-    asked = spark.createDataFrame([(0, [float(x) for x in first_vector(spark, d)])], "query_id long, embedding array<double>")
-    return hnsw.search_graphs(graphs, asked, K, shards=shards)
+    """By the graphs; the SQL is the exact answer, which a search of the default
+    width has to meet in all of its first places."""
+    rows, graphs, shards = _graphs(spark, d)
+    near, _ = hnsw.search_escalating(graphs, rows, first_vector(spark, d), K, rows.count(), shards=shards)
+    return near.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(f"WITH {VECS}, {_knn('vecs', 'label = 3')} {_NEAR} {K}")
 def knn_approx_filtered(spark, d):
     rows, graphs, shards = _graphs(spark, d)
-    asked = spark.createDataFrame([(0, [float(x) for x in first_vector(spark, d)])], "query_id long, embedding array<double>")
-    return hnsw.search_graphs(graphs, asked, K, allowed=rows.where("label = 3"), shards=shards)
+    some = rows.where("label = 3")
+    near, _ = hnsw.search_escalating(graphs, some, first_vector(spark, d), K, some.count(), filtered=True, shards=shards)
+    return near.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT count(*)::BIGINT AS queries, true AS recall_reached FROM embeddings WHERE label = 7")
+def knn_approx_recall(spark, d):
+    """Of the true K nearest of many queries, the graphs find 0.95 at default width."""
+    rows, graphs, shards = _graphs(spark, d)
+    asked = rows.where("label = 7").select(F.col("entry_id").alias("query_id"), "embedding")
+    true, found = knn.knn_batch(rows, asked, K), hnsw.search_graphs(graphs, asked, K, shards=shards)
+    hits = true.join(found.select("query_id", "entry_id", F.lit(1).alias("hit")), ["query_id", "entry_id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("recall_reached"))
 
 
 # --- fusion and diversity -----------------------------------------------------------
@@ -468,11 +503,9 @@ _HALF = "(SELECT CAST(floor(count(*) / 2) AS BIGINT) FROM documents)"
 @query(f"""WITH {COMMITS}, walk AS (SELECT *, entry_id AS walk_pos FROM commits)
 SELECT walk_pos, hash FROM walk WHERE walk_pos < (SELECT min(walk_pos) FROM walk WHERE hash = (SELECT hash FROM walk WHERE walk_pos = {_HALF}))""")
 def incremental_since(spark, d):
-    from lodestone.sources.git import since
-
     walk = commits(spark, d).withColumnRenamed("entry_id", "walk_pos")
     half = walk.count() // 2
-    return since(walk, walk.where(F.col("walk_pos") == half).first().hash).select("walk_pos", "hash")
+    return git.since(walk, walk.where(F.col("walk_pos") == half).first().hash).select("walk_pos", "hash")
 
 
 @query(f"""WITH {COMMITS}, old AS (SELECT entry_id, hash FROM commits WHERE entry_id < {_HALF}),
@@ -486,11 +519,25 @@ def incremental_merge(spark, d):
     return merge.merge_new(rows.where(F.col("entry_id") < half), new)
 
 
-def _engine(spark: SparkSession, d: str) -> Engine:
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    import uuid
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{git_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def git_folder(spark: SparkSession) -> str:
+    """A folder that the session shares; one of its own only in a local session."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
 
-    engine = Engine(spark, f"{where}/index-{uuid.uuid4().hex}", HashedEmbedder())
+def _engine(spark: SparkSession, d: str) -> Engine:
+    engine = Engine(spark, _fresh(spark, "index"), HashedEmbedder())
     engine.build(commits(spark, d).withColumnRenamed("entry_id", "walk_pos"))
     return engine
 
@@ -505,14 +552,179 @@ def index_stats(spark, d):
     return _engine(spark, d).stats().select("entries", "authors", "oldest", "newest", "model", "include_diffs")
 
 
-@query()
-def json_results(spark, d):
+# The lexical search of an index over the commits' whole texts.
+_INDEXED = f"WITH {COMMITS}, docs AS (SELECT entry_id, message || chr(10) || author || chr(10) || diff_summary AS text FROM commits), {_bm25(ITEM)}, hits AS (SELECT c.*, bm.rank FROM bm JOIN commits c USING (entry_id) WHERE bm.rank <= {K})"
+_SUBJECT = r"regexp_replace(split_part(message, chr(10), 1), '\r$', '')"
+
+
+def _lexical(spark, d):
     text = first_item(spark, d).first().text
-    o = _engine(spark, d).search(SearchRequest(text, K))
-    return json_document(o.results, text, o.mode.value, o.strategy.value, o.candidates, o.diversified, o.took_ms)
+    return text, _engine(spark, d).search(SearchRequest(text, K, mode=Mode.LEXICAL))
 
 
-@query()
+@query(rf"""{_INDEXED} SELECT (SELECT text FROM benchmark ORDER BY item_id LIMIT 1) AS query, 'lexical' AS mode, 'exact' AS strategy,
+  (SELECT count(*) FROM commits) AS candidates, false AS diversified, rank, hash, author, strftime(date, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date, {_SUBJECT} AS subject,
+  regexp_replace(message, '\s+$', '') AS message, array_to_string({_FILES}, '|') AS files, NULL::DOUBLE AS similarity FROM hits""")
+def json_results(spark, d):
+    """The JSON document of a search, read back into rows (all but the time taken)."""
+    text, o = _lexical(spark, d)
+    found = json_document(o.results, text, o.mode.value, o.strategy.value, o.candidates, o.diversified, o.took_ms)
+    result = "struct<rank:long,hash:string,author:string,date:string,subject:string,message:string,files:array<string>,similarity:double>"
+    read = found.select(F.from_json("json", f"query string, mode string, strategy string, candidates long, diversified boolean, took_ms double, results array<{result}>").alias("j"))
+    rows = read.where("j.took_ms >= 0").select("j.query", "j.mode", "j.strategy", "j.candidates", "j.diversified", F.explode("j.results").alias("r")).select("*", "r.*").drop("r")
+    return rows.withColumn("files", F.array_join("files", "|"))
+
+
+@query(rf"""{_INDEXED}, parts AS (SELECT rank, rank || '. ' || left(hash, 7) || ' ' || {_SUBJECT} || ' (keyword match)' AS a, '   ' || author || ', ' || strftime(date, '%Y-%m-%d') AS b,
+  '   ' || array_to_string(string_split(diff_summary, chr(10))[1:2], chr(10) || '   ') AS c FROM hits)
+SELECT (rank - 1) * 4 + unnest([0, 1, 2, 3]) AS place, unnest([a, b, c, '']) AS line FROM parts""")
+def text_results(spark, d):
+    lines = text_lines(_lexical(spark, d)[1].results)
+    return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
+
+
+@query(f"""WITH {DOCS}, t AS (SELECT entry_id, ('0x' || left(md5(t), 8))::BIGINT AS h FROM (SELECT entry_id, unnest({_tokens("text")}) AS t FROM docs)),
+c AS (SELECT entry_id, (h >> 1) % 64 AS place, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS n FROM t GROUP BY ALL),
+u AS (SELECT entry_id, sqrt(sum(n * n)) AS size FROM c GROUP BY entry_id)
+SELECT entry_id, place, (n / size)::REAL::DOUBLE AS value FROM c JOIN u USING (entry_id) WHERE n <> 0""")
 def embed_text(spark, d):
     """A stand-in without meaning; the model's path is a setting."""
-    return HashedEmbedder().embed(docs(spark, d), "text").select("entry_id", "embedding")
+    made = HashedEmbedder().embed(docs(spark, d), "text").select("entry_id", F.posexplode("embedding").alias("place", "value"))
+    return made.where("value <> 0").select("entry_id", F.col("place").cast("long").alias("place"), F.col("value").cast("double").alias("value"))
+
+
+# --- a repository made of the commits ----------------------------------------------------
+
+
+def repository(spark: SparkSession, d: str) -> str:
+    """A repository with a commit per row, in the order of ids: each adds a file
+    with its text, so that the newest is first in the walk."""
+    where = Path(_fresh(spark, "repository").removeprefix("file://"))
+    where.mkdir(parents=True)
+    run = lambda *a, **kw: subprocess.run(["git", "-c", "safe.directory=*", "-C", str(where), *a], check=True, capture_output=True, **kw)
+    run("init", "-q", "-b", "main")
+    load = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", str(where), "fast-import", "--quiet"], stdin=subprocess.PIPE, env=os.environ | {"HOME": str(where)})
+    data = lambda b: b"data %d\n" % len(b) + b + b"\n"
+    rows = commits(spark, d).select("entry_id", "author", F.unix_timestamp("date").alias("at"), T.subject(F.col("message")).alias("subject"), "message").orderBy("entry_id")
+    for r in rows.toLocalIterator():  # one process writes a repository
+        who = f"{r.author} <a@example.org> {r['at']} +0000\n".encode()
+        load.stdin.write(b"commit refs/heads/main\nauthor " + who + b"committer " + who + data(r.subject.encode()) + b"M 100644 inline " + f"docs/{r.entry_id}.txt\n".encode() + data(r.message.encode() + b"\n"))
+    load.stdin.close()
+    if load.wait():
+        raise OSError("the repository could not be written")
+    return str(where)
+
+
+_TEXT = "'Files: docs/' || entry_id || '.txt' || chr(10) || '+' || replace(message, chr(10), chr(10) || '+') || chr(10)"
+_CUT = f"""CASE WHEN strlen(t) <= {T.TEXT_LIMIT} THEN t ELSE left(t, (SELECT min(i) FROM (SELECT unnest(range({T.TEXT_LIMIT} // 4, {T.TEXT_LIMIT} + 1)) AS i) WHERE strlen(left(t, i)) >= {T.TEXT_LIMIT})) || chr(10) || '... (truncated)' END"""
+_HISTORY = f"""{COMMITS}, walked AS (
+  SELECT (SELECT max(entry_id) FROM commits) - entry_id AS walk_pos, author, date_trunc('second', date) AS date, {_SUBJECT} AS subject, {_TEXT} AS t FROM commits)"""
+
+
+@query(f"WITH {_HISTORY} SELECT walk_pos, author, date, subject, {_CUT} AS diff_summary FROM walked")
+def git_history(spark, d):
+    rows = git.history(spark, repository(spark, d))
+    return rows.select("walk_pos", "author", "date", T.subject(F.col("message")).alias("subject"), "diff_summary")
+
+
+@query(f"WITH {COMMITS} SELECT (SELECT max(entry_id) FROM commits) - entry_id AS walk_pos, {_SUBJECT} AS subject, '' AS diff_summary FROM commits WHERE entry_id > {_HALF}")
+def git_history_since(spark, d):
+    """The walk before the commit in its middle, without changes."""
+    walk = git.history(spark, repository(spark, d), include_diffs=False)
+    half = walk.agg(F.max("walk_pos")).first()[0] - table(spark, d, "documents").count() // 2
+    found = git.since(walk, walk.where(F.col("walk_pos") == half).first().hash)
+    return found.select("walk_pos", T.subject(F.col("message")).alias("subject"), "diff_summary")
+
+
+# --- the index over time -------------------------------------------------------------------
+
+_WALK = f"""{COMMITS}, old AS (SELECT * FROM commits WHERE entry_id >= {_HALF}),
+stop AS (SELECT min(entry_id) AS pos FROM commits WHERE hash = (SELECT hash FROM commits WHERE entry_id = {_HALF})),
+n AS (SELECT (SELECT count(*) FROM old) AS half, (SELECT count(DISTINCT hash) FROM commits WHERE entry_id < (SELECT pos FROM stop) AND hash NOT IN (SELECT hash FROM old)) AS fresh, (SELECT count(*) FROM commits) AS whole)"""
+
+
+@query(f"""WITH {_WALK}
+SELECT 1::BIGINT AS step, 'rebuilt' AS done, half AS commits, false AS include_diffs, true AS fresh_fingerprint FROM n
+UNION ALL SELECT 2, 'refused', half, false, false FROM n
+UNION ALL SELECT 3, 'current', half, false, false FROM n
+UNION ALL SELECT 4, 'updated', half + fresh, false, true FROM n
+UNION ALL SELECT 5, 'current', half + fresh, false, false FROM n
+UNION ALL SELECT 6, 'rebuilt', whole, true, true FROM n
+UNION ALL SELECT 7, 'current', whole, true, false FROM n""")
+def index_lifecycle(spark, d):
+    """The older half indexed quickly, full asked without force, again, the rest
+    appended, again, rebuilt with changes by force, and quick asked of that."""
+    walk = commits(spark, d).withColumnRenamed("entry_id", "walk_pos")
+    older = walk.where(F.col("walk_pos") >= table(spark, d, "documents").count() // 2)
+    engine = Engine(spark, _fresh(spark, "index"), HashedEmbedder())
+    rows, before = [], ""
+    for i, (source, how) in enumerate([(older, {"quick": True}), (older, {"full": True}), (older, {"quick": True}), (walk, {"quick": True}), (walk, {"quick": True}), (walk, {"full": True, "force": True}), (walk, {"quick": True})]):
+        meta, done = engine.index(source, **how)
+        rows.append((i + 1, done, meta.total_commits, meta.include_diffs, meta.fingerprint != before))
+        before = meta.fingerprint
+    return spark.createDataFrame(rows, "step long, done string, commits long, include_diffs boolean, fresh_fingerprint boolean")
+
+
+@query("""SELECT * FROM (VALUES ('new', true, 5), ('kept', false, 5), ('stale', true, 5), ('file lost', true, 5), ('file damaged', true, 5), ('marker damaged', true, 5), ('kept', false, 5), ('cannot be stored', true, 5)) v(state, built, rows)""")
+def derived_recovery(spark, d):
+    """What becomes of a derived table that is missing, stale or damaged."""
+    storage = _engine(spark, d).storage
+    meta, rows = storage.meta(), []
+    folder = Path(f"{storage.where}/{meta.snapshot}")
+    newest = lambda: max(folder.glob("probe-*"), key=lambda p: p.stat().st_mtime_ns)
+
+    def see(state: str, name: str = "probe") -> None:
+        found, built = storage.derived(name, meta, lambda: spark.range(5).coalesce(1))
+        rows.append((state, built, found.count()))
+
+    see("new")
+    see("kept")
+    meta.fingerprint += "x"
+    see("stale")
+    next(newest().glob("*.parquet")).unlink()
+    see("file lost")
+    next(newest().glob("*.parquet")).write_bytes(b"PAR1")
+    see("file damaged")
+    (folder / "probe.json").write_text("{")
+    see("marker damaged")
+    see("kept")
+    (folder / "blocked").write_text("no folder")
+    see("cannot be stored", "blocked/x")
+    return spark.createDataFrame(rows, "state string, built boolean, rows int")
+
+
+@query("""WITH g AS (SELECT * FROM (VALUES ('hybrid'), ('semantic'), ('lexical')) m(asked), (VALUES (3), (40)) k(k), (VALUES (true), (false)) d(diverse), (VALUES (true), (false)) e(exact),
+  (VALUES (100), (2048), (2049)) c(candidates), (VALUES (true), (false)) u(graph), (VALUES (true), (false)) w(words)),
+r AS (SELECT *, CASE WHEN words THEN asked ELSE 'semantic' END AS mode FROM g)
+SELECT asked, k, diverse, exact, candidates, graph, words, mode, CASE WHEN mode = 'hybrid' OR diverse THEN greatest(4 * k, 50) ELSE k END AS depth,
+  graph AND NOT exact AND candidates > 2048 AS use_graph FROM r""")
+def planner_table(spark, d):
+    """What is planned for each combination of a request and of what is there."""
+    rows = []
+    for mode in Mode:
+        for k in (3, 40):
+            for bits in range(16):
+                diverse, exact, graph, words = (bool(bits >> i & 1) for i in range(4))
+                for candidates in (100, 2048, 2049):
+                    p = planner.plan(k, mode, diverse, exact, candidates, graph, words)
+                    rows.append((mode.value, k, diverse, exact, candidates, graph, words, p.mode.value, p.depth, p.use_graph))
+    return spark.createDataFrame(rows, "asked string, k int, diverse boolean, exact boolean, candidates int, graph boolean, words boolean, mode string, depth int, use_graph boolean")
+
+
+@query("""SELECT * FROM (VALUES ('2024-01-31', 'ok'), ('2024-1-5', 'ok'), ('2024-02-30', 'E4001'), ('31.01.2024', 'E4001'), ('', 'E4001'), ('2024-01-31T00:00:00', 'E4001')) v(given, outcome)""")
+def filter_dates_checked(spark, d):
+    """Dates are refused before anything runs."""
+    rows = []
+    for given in ("2024-01-31", "2024-1-5", "2024-02-30", "31.01.2024", "", "2024-01-31T00:00:00"):
+        try:
+            SearchFilters(after=given).apply(commits(spark, d))
+            rows.append((given, "ok"))
+        except errors.InvalidDateFormat as e:
+            rows.append((given, e.code))
+    return spark.createDataFrame(rows, "given string, outcome string")
+
+
+@query(r"""SELECT * FROM (VALUES (1, 'open https://host/a/b#top'), (2, 'in ~\Documents\x'), (3, 'plain'), (4, 'http://h/p twice http://h/q')) v(n, message)""")
+def errors_sanitised(spark, d):
+    said = ["open https://host/a/b?key=secret#top", r"in C:\Users\someone\Documents\x", "plain", "http://h/p?x=1 twice http://h/q?y=2"]
+    return spark.createDataFrame([(i + 1, errors.sanitize(m)) for i, m in enumerate(said)], "n int, message string")

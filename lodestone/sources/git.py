@@ -82,17 +82,39 @@ def cut(text: str, limit: int = TEXT_LIMIT) -> str:
     return data[:end].decode() + "\n... (truncated)"
 
 
-def diff_summary(path: str, commit: str, parent: str | None) -> str:
-    """Changed paths, then the added and removed lines, against the first parent."""
-    base = ["diff-tree", "-r", "--no-renames", "--no-commit-id"]
-    ends = [parent, commit] if parent else ["--root", commit]
+_BASE = ["diff-tree", "--stdin", "--always", "--root", "-r", "--no-renames"]
+
+
+def diff_summaries(path: str, commits: list[str], parents: list[str | None]) -> Iterator[str]:
+    """For each commit its changed paths, then the added and removed lines, against
+    the first parent. Two processes serve all: one for names, one for patches."""
+    asked = "".join(f"{c} {p}\n" if p else f"{c}\n" for c, p in zip(commits, parents)).encode()
     try:
-        names = _git(path, *base, "--name-only", "-z", *ends).decode(errors="replace").split("\0")
-        patch = _git(path, *base, "-p", "-U0", "--no-color", "--no-ext-diff", *ends)
+        names = _sections(_git(path, *_BASE, "--name-only", "-z", stdin=asked).split(b"\0"), commits)
+        patches = _sections(_git(path, *_BASE, "-p", "-U0", "--no-color", "--no-ext-diff", stdin=asked).split(b"\n"), commits)
     except RuntimeError as e:
         raise DiffFailed(str(e)) from None
+    for commit in commits:
+        yield _summary([n.decode(errors="replace") for n in names[commit]], patches[commit])
+
+
+def _sections(parts: list[bytes], commits: list[str]) -> dict[str, list[bytes]]:
+    """What follows each commit's own line. The commits come in the order asked, so
+    only the next one's line can begin a section."""
+    out: dict[str, list[bytes]] = {c: [] for c in commits}
+    ahead, now = iter([*commits, None]), None
+    next_ = next(ahead)
+    for part in parts:
+        if next_ and part == next_.encode():
+            now, next_ = next_, next(ahead)
+        elif now:
+            out[now].append(part)
+    return out
+
+
+def _summary(names: list[str], patch: list[bytes]) -> str:
     body, header = [], False
-    for line in patch.split(b"\n"):
+    for line in patch:
         if line.startswith(b"diff --git "):
             header = True
         elif line.startswith(b"@@"):
@@ -124,12 +146,11 @@ class _Reader(DataSourceReader):
         form = "%H%x00%an%x00%ct%x00%P%x00%B%x00"
         out = _git(self.path, "log", "--no-walk=unsorted", "--stdin", "-z", f"--format={form}", stdin="\n".join(partition.hashes).encode())
         fields = out.decode(errors="replace").split("\0")
-        at = 0
-        for i in range(len(partition.hashes)):
-            commit, author, seconds, parents, message = fields[at : at + 5]
-            at += 6
+        rows = [fields[at : at + 5] for at in range(0, 6 * len(partition.hashes), 6)]
+        parents = [(r[3].split() or [None])[0] for r in rows]
+        diffs = diff_summaries(self.path, partition.hashes, parents) if self.diffs else iter([""] * len(rows))
+        for i, ((commit, author, seconds, _, message), diff) in enumerate(zip(rows, diffs)):
             date = datetime.fromtimestamp(int(seconds), timezone.utc)
-            diff = diff_summary(self.path, commit.strip(), (parents.split() or [None])[0]) if self.diffs else ""
             yield partition.start + i, commit.strip(), author or "Unknown", date, message, diff
 
 

@@ -4,22 +4,27 @@ A snapshot folder holds ``entries`` and the tables derived from them; the file
 ``CURRENT`` names the snapshot in force. Writers fill a new folder and replace
 that file last, so readers never see half an index and no table is overwritten
 while it is read. Derived tables carry the fingerprint of the entries they were
-made from; a table that is missing or has another fingerprint is built again.
+made from; a table that is missing, damaged or of another fingerprint is built again.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import struct
 import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 import pyarrow.fs as pafs
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.errors import CorruptedIndex, IndexNotFound
+from lodestone.errors import CorruptedIndex, IndexNotFound, SidecarFailed
+
+log = logging.getLogger(__name__)
 
 FORMAT = 1
 ENTRIES = "entry_id long, hash string, author string, date timestamp, message string, diff_summary string, embedding array<float>"
@@ -105,23 +110,44 @@ class IndexStorage:
         return meta
 
     def derived(self, name: str, meta: IndexMeta, build, refresh: bool = False) -> tuple[DataFrame, bool]:
-        """A derived table, and whether it had to be built."""
+        """A derived table, and whether it had to be built. A table that is missing,
+        stale or can't be read is built again; one that can't be stored is used as
+        it was built, and only a warning tells."""
         marker = f"{self.where}/{meta.snapshot}/{name}.json"
         path = self._at(meta, name)
-        if not refresh and self.fs.get_file_info(marker).type == pafs.FileType.File:
-            with self.fs.open_input_stream(marker) as f:
-                try:
-                    known = json.loads(f.read())
-                except ValueError:
-                    known = {}
-            if known.get("format") == FORMAT and known.get("fingerprint") == meta.fingerprint:
-                return self.spark.read.parquet(f"{path}-{known['version']}"), False
-        version = uuid.uuid4().hex
-        build().write.parquet(f"{path}-{version}")
-        with self.fs.open_output_stream(marker) as f:
-            f.write(json.dumps({"format": FORMAT, "fingerprint": meta.fingerprint, "version": version}).encode())
+        if not refresh and (found := self._readable(marker, path, meta)) is not None:
+            return found, False
+        built, version = build(), uuid.uuid4().hex
+        try:
+            built.write.parquet(f"{path}-{version}")
+            with self.fs.open_output_stream(marker) as f:
+                f.write(json.dumps({"format": FORMAT, "fingerprint": meta.fingerprint, "version": version, "files": self._files(f"{path}-{version}")}).encode())
+        except (OSError, Py4JJavaError, PySparkException) as e:
+            log.warning("%s", SidecarFailed(f"{name}: {str(e).splitlines()[0]}").report())
+            return built, True
         return self.spark.read.parquet(f"{path}-{version}"), True
 
+    def _files(self, uri: str) -> dict[str, int]:
+        """Names and sizes of a table's data files."""
+        fs, where = pafs.FileSystem.from_uri(uri)
+        found = fs.get_file_info(pafs.FileSelector(where, recursive=True))
+        return {f.base_name: f.size for f in found if f.base_name.endswith(".parquet")}
+
+    def _readable(self, marker: str, path: str, meta: IndexMeta) -> DataFrame | None:
+        """The stored table, if its marker fits the entries, its files are those
+        that were written, and their footers can be read."""
+        try:
+            with self.fs.open_input_stream(marker) as f:
+                known = json.loads(f.read())
+            if known.get("format") != FORMAT or known.get("fingerprint") != meta.fingerprint:
+                return None
+            uri = f"{path}-{known['version']}"
+            if self._files(uri) != known.get("files"):
+                return None
+            return self.spark.read.option("mergeSchema", "true").parquet(uri)  # reads every footer
+        except (OSError, ValueError, KeyError, AttributeError, Py4JJavaError, PySparkException):
+            return None
+
     def size(self) -> float:
         """Size of the current snapshot in units of 1,024,000 bytes."""
         files = self.fs.get_file_info(pafs.FileSelector(f"{self.where}/{self.meta().snapshot}", recursive=True))

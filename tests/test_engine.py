@@ -53,8 +53,9 @@ def test_history_with_merge_rename_and_long_diff(spark, repo):
     sh(repo, "merge", "-q", "--no-ff", "side", "-m", "Merge", GIT_AUTHOR_DATE="2024-01-05T12:00:00Z", GIT_COMMITTER_DATE="2024-01-05T12:00:00Z")
     sh(repo, "mv", "side.txt", "moved.txt")
     commit(repo, "big.txt", "é line\n" * 5000, "Big", 6)
+    sh(repo, "commit", "-q", "--allow-empty", "-m", "Nothing", GIT_AUTHOR_DATE="2024-01-07T12:00:00Z", GIT_COMMITTER_DATE="2024-01-07T12:00:00Z")
     rows = {r.message.strip().split("\n")[0]: r for r in git.history(spark, str(repo)).collect()}
-    assert len(rows) == 6 and rows["Merge"].diff_summary.startswith("Files: side.txt\n")
+    assert len(rows) == 7 and rows["Nothing"].diff_summary == "Files: \n" and rows["Merge"].diff_summary.startswith("Files: side.txt\n")
     assert rows["Big"].diff_summary.startswith("Files: big.txt, moved.txt, side.txt\n") and rows["Big"].diff_summary.endswith("... (truncated)")
     assert len(rows["Big"].diff_summary.encode()) <= 10_000 + 3 + len("\n... (truncated)")
 
@@ -131,7 +132,7 @@ def test_graph_exact_and_filters(engine):
 
 
 def test_diverse_and_output(engine):
-    o = engine.search(SearchRequest("dark mode", 4, diverse=True))
+    o = engine.search(SearchRequest("dark mode", 4, diverse=True, weight=0.3))
     assert o.diversified and len({r.message for r in o.results.collect()}) > 1
     doc = json.loads(json_document(o.results, "dark mode", o.mode.value, o.strategy.value, o.candidates, True, 1.5).first().json)
     assert list(doc) == ["query", "mode", "strategy", "candidates", "diversified", "took_ms", "results"]
@@ -150,6 +151,32 @@ def test_derived_tables_are_rebuilt_when_stale(engine):
     assert engine.storage.size() > 0
 
 
+def test_derived_tables_survive_damage(engine, monkeypatch, caplog):
+    from pathlib import Path
+
+    _, meta = engine.storage.load()
+    build = lambda: engine.spark.range(40).repartition(2)
+    folder = Path(engine.storage.where) / meta.snapshot
+    files = lambda: sorted(p for p in folder.glob("harm-*/*.parquet"))
+    engine.storage.derived("harm", meta, build)
+    for harm in (lambda f: f.unlink(), lambda f: f.write_bytes(b"no parquet"), lambda f: f.write_bytes(f.read_bytes()[:-20] + b"x" * 20)):
+        for f in files():
+            harm(f)
+        table, built = engine.storage.derived("harm", meta, build)
+        assert built and table.count() == 40
+        table, built = engine.storage.derived("harm", meta, build)
+        assert not built and table.count() == 40
+        for old in files():
+            if old.stat().st_mtime < max(f.stat().st_mtime for f in files()) - 5:
+                old.unlink()
+    (folder / "harm.json").write_text("{")
+    assert engine.storage.derived("harm", meta, build)[1]
+    blocked = folder / "full"
+    blocked.write_text("a file where a folder should be")
+    table, built = engine.storage.derived("full/in", meta, build)
+    assert built and table.count() == 40 and "E3006" in caplog.text
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     rows = [(f"{i:040x}", "A", f"2024-01-0{i + 1} 00:00:00", f"message {i}", "") for i in range(3)]
