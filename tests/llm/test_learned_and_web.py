@@ -197,6 +197,27 @@ def test_style_tree_cuts_what_repeats(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_style_tree_equals_brute_force(spark):
+    """Entropies of all nodes of sf0.001's pages, counted one by one."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    seen = defaultdict(lambda: (Counter(), Counter()))
+    for r in pages.select(html_text.host(pages.url).alias("host"), "html").collect():
+        s = html_text._Style(r.html or "")
+        for node, look in s.looks.items():
+            seen[r.host, node][0][look] += 1
+            seen[r.host, node][1][s.says.get(node, 0)] += 1
+
+    def entropy(counts):
+        n = sum(counts.values())
+        return -sum(c / n * math.log(c / n, n) for c in counts.values()) if n > 1 else 1.0
+
+    got = {(r.host, r.node): r for r in html_text.importance(pages).collect()}
+    assert got.keys() == seen.keys() and len(got) > 20
+    for key, (looks, says) in seen.items():
+        assert got[key].pages == sum(looks.values())
+        assert abs(got[key].looks - entropy(looks)) < 1e-9 and abs(got[key].says - entropy(says)) < 1e-9
+
+
 def test_style_tree_cuts_what_repeats_inside_articles(spark):
     again = '<div class="k7">Read this on our app</div>'
     inner = lambda i: f"<article><h1>Title {i}</h1><p>Story <b>not</b> {i * 7}</p>{again}<p>end {i}</p></article>"
