@@ -60,6 +60,30 @@ def test_lm_is_a_distribution(monkeypatch):
     assert abs(sum({w: unigram[i] for i, w in enumerate(words)}.values()) - 1) < 1e-9
 
 
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    """The score of every text from counts in dictionaries and the weights learned."""
+    learned, real = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: learned.append(real(*a)) or learned[-1])
+    rows = _docs()
+    got = Counter((r.doc_id, round(r.score, 8)) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            words = _tokens(t)
+            one.update(words)
+            two.update(zip(["<start>", *words[:-1]], words))
+    n, distinct, want = sum(one.values()), len(one), Counter()
+    for i, t in rows:
+        words, total = _tokens(t), 0.0
+        for before, word in zip(["<start>", *words[:-1]], words):
+            context = one[None] if before == "<start>" else one[before]
+            w = learned[0][min(math.frexp(context)[1], lm.CONTEXT_BUCKETS - 1)]
+            bigram = two[before, word] / context if context else 0.0
+            total += math.log10(w[0] * bigram + w[1] * one[word] / n + w[2] / (distinct + 1))
+        want[i, round(total, 8)] += 1
+    assert got == want
+
+
 def test_learning_prefers_what_predicts():
     sharp = lm.learn([(5, 1 + 8, 1 + 80, 100)], 1000)  # bigram 1/2, unigram 2**-10
     blind = lm.learn([(5, 0, 1 + 40, 100)], 1000)
