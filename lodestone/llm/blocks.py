@@ -7,6 +7,11 @@ all blocks sent, and answers each block with one value in the block's own key
 order. A key, however hot, is sent at most once per block, buckets are ranges of
 hashes, one for every few blocks, and no task holds more than one block or one
 bucket at a time.
+
+Where blocks send little to a bucket, they go together in chunks: a chunk sends a
+bucket one value for all of its blocks and is answered with one, which is then
+dealt out to the blocks. Else the values, one per block and bucket, would grow as
+the square of the table, with fewer keys in each.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import bound_arrow, new_path, open_fs, staged, trim_memory
 
 BLOCK_BYTES = 4 << 20
+#: Blocks of a chunk at most, and chunks that there are before they get larger.
+TOGETHER = 16
+CHUNKS = 200
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -42,6 +50,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def let_go() -> None:
+    """At a task's end, so that idle workers hold little while others work."""
+    _powers.clear()
+    trim_memory()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finaliser of SplitMix64)."""
     x = x ^ (x >> U64(30))
@@ -153,10 +167,70 @@ def bucket_cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)]])
 
 
-def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], buckets: int, answers: DataFrame | None = None, blocks: int = 1) -> DataFrame:
+def chunks_of(blocks: int) -> int:
+    """Chunks for so many blocks: of three blocks each, larger ones beyond CHUNKS."""
+    return max(1, -(-blocks // min(TOGETHER, max(3, blocks // CHUNKS))))
+
+
+def _in_chunks(rows: DataFrame, chunks: int) -> DataFrame:
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks)).cast("int"))
+
+
+def _ask_together(names: DataFrame, question, buckets: int, answers: DataFrame | None, chunks: int) -> DataFrame:
+    """``ask`` with a chunk's number in place of a block's, and sizes binary: how
+    many of the keys are each block's, in the order of the blocks' numbers."""
+    schema = "bucket int, number long, sizes binary, blob binary"
+
+    def rows(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        found = []
+        for r in left.sort_by("number").to_pylist():
+            table = read_block(r["folder"], r["block"])
+            found.append(question(table) if right is None else question(table, answered(right.filter(pa.compute.equal(right.column("number"), r["number"])))))
+        let_go()
+        if not found:
+            return pa.Table.from_pylist([])
+        sizes = np.array([np.diff(bucket_cuts(keys, buckets)) for keys, _ in found])
+        order = np.argsort(np.concatenate([np.repeat(np.arange(buckets), n) for n in sizes]), kind="stable")
+        keys, *beside = (np.concatenate(a)[order] for a in zip(*((keys, *rest) for keys, rest in found)))
+        ends = np.cumsum(sizes.sum(axis=0))
+        own = np.flatnonzero(sizes.sum(axis=0))
+        blobs = [pack_arrays(*(a[x:y] for a in (keys, *beside))) for x, y in zip((ends - sizes.sum(axis=0))[own].tolist(), ends[own].tolist())]
+        number = pa.array([left.column("chunk")[0].as_py()] * len(own), pa.int64())
+        each = pa.array([sizes[:, b].astype("<i4").tobytes() for b in own.tolist()], pa.binary())
+        return pa.table({"bucket": pa.array(own, pa.int32()), "number": number, "sizes": each, "blob": pa.array(blobs, pa.binary())})
+
+    names = _in_chunks(names, chunks)
+    if answers is None:
+        return names.repartitionById(chunks, "chunk").groupBy("chunk").applyInArrow(lambda left: rows(left, None), schema)
+    return _beside(names, _in_chunks(answers, chunks), chunks, "chunk").applyInArrow(rows, schema)
+
+
+def _deal_out(merged: DataFrame, names: DataFrame, chunks: int) -> DataFrame:
+    """Answers to chunks, a byte for each key, as one answer to each of the blocks."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return pa.Table.from_pylist([])
+        right = right.sort_by("bucket")
+        numbers = np.sort(left.column("number").to_numpy())
+        sizes = np.frombuffer(b"".join(right.column("sizes").to_pylist()), "<i4")
+        block = np.repeat(np.tile(np.arange(len(numbers)), right.num_rows), sizes)
+        values = np.concatenate([unpack_arrays(b, "u1")[1] for b in right.column("blob").to_pylist()])[np.argsort(block, kind="stable")]
+        parts = np.split(values, np.cumsum(np.bincount(block, minlength=len(numbers)))[:-1])
+        blobs = [pack_arrays(np.zeros(0, U64), p) for p in parts]
+        return pa.table({"bucket": pa.array([0] * len(numbers), pa.int32()), "number": pa.array(numbers), "blob": pa.array(blobs, pa.binary())})
+
+    answers = merged.withColumn("chunk", F.col("number").cast("int"))
+    return _beside(_in_chunks(names, chunks), answers, chunks, "chunk").applyInArrow(run, "bucket int, number long, blob binary")
+
+
+def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], buckets: int, answers: DataFrame | None = None, blocks: int = 1, chunks: int = 0) -> DataFrame:
     """Rows bucket int, number long, blob binary: per block and bucket, the
     block's sorted keys and the arrays beside them. ``question`` gets the block,
-    and what was answered before if ``answers`` is given (for so many blocks)."""
+    and what was answered before if ``answers`` is given (for so many blocks).
+    With ``chunks``, blocks go together in so many."""
+    if chunks:
+        return _ask_together(names, question, buckets, answers, chunks)
 
     def rows(number: int, found: tuple[np.ndarray, list[np.ndarray]]) -> pa.Table:
         keys, beside = found
@@ -171,6 +245,7 @@ def ask(names: DataFrame, question: Callable[[pa.Table], tuple[np.ndarray, list[
             for batch in batches:
                 for r in batch.to_pylist():
                     yield from rows(r["number"], question(read_block(r["folder"], r["block"]))).to_batches()
+            let_go()
 
         # One block after the other: a row of names stands for MBs of text.
         return spread(names).mapInArrow(run, "bucket int, number long, blob binary")
@@ -188,9 +263,12 @@ def _tasks(blocks: int) -> int:
     return max(1, -(-blocks // 3))
 
 
+def _beside(names: DataFrame, answers: DataFrame, tasks: int, by: str):
+    return names.repartition(tasks, by).groupBy(by).cogroup(answers.repartition(tasks, by).groupBy(by))
+
+
 def _side_by_side(names: DataFrame, answers: DataFrame, blocks: int):
-    n = _tasks(blocks)
-    return names.repartition(n, "number").groupBy("number").cogroup(answers.repartition(n, "number").groupBy("number"))
+    return _beside(names, answers, _tasks(blocks), "number")
 
 
 def spread(names: DataFrame) -> DataFrame:
@@ -205,16 +283,20 @@ def answered(answers: pa.Table) -> list[bytes]:
     return [blobs[i] for i in order]
 
 
-def merge(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]], name: str, buckets: int) -> DataFrame:
+def merge(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]], name: str, buckets: int, names: DataFrame | None = None, chunks: int = 0) -> DataFrame:
     """Answer each bucket: ``answer`` gets the blobs of all blocks and returns
-    one for each, in the same order. A task has one bucket. The result is stored."""
+    one for each, in the same order. A task has one bucket. The result is stored.
+    With ``chunks``, it gets and answers theirs, a byte for each key, and the blocks
+    that ``names`` lists are answered with one blob each."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("number")  # the same whatever the order of arrival
         out = answer(group.column("blob").to_pylist())
-        return pa.table({"bucket": group.column("bucket"), "number": group.column("number"), "blob": pa.array(out, pa.binary())})
+        trim_memory()
+        return group.set_column(group.column_names.index("blob"), "blob", pa.array(out, pa.binary()))
 
-    return staged(asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(run, "bucket int, number long, blob binary"), name)
+    merged = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(run, asked.schema)
+    return staged(_deal_out(merged, names, chunks) if chunks else merged, name)
 
 
 def finish(names: DataFrame, answers: list[DataFrame], last: Callable[..., pa.Table], schema: str, blocks: int) -> DataFrame:
@@ -231,6 +313,8 @@ def finish(names: DataFrame, answers: list[DataFrame], last: Callable[..., pa.Ta
         r = left.to_pylist()[0]
         kind = right.column("kind").to_numpy()
         parts = [answered(right.filter(pa.array(kind == i))) for i in range(n_answers)]
-        return last(read_block(r["folder"], r["block"]), *parts)
+        out = last(read_block(r["folder"], r["block"]), *parts)
+        let_go()
+        return out
 
     return _side_by_side(names, all_answers, blocks).applyInArrow(run, schema)

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ ARROW_BYTES = str(8 << 20)
 
 
 def trim_memory() -> None:
-    """Give what a worker has freed back to the system; the C library otherwise
-    keeps it, and an idle worker holds on to what its largest block took."""
+    """Give what a worker has freed back to the system; Arrow and the C library
+    otherwise keep it, and an idle worker holds on to what its largest block took."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

@@ -26,37 +26,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_arrow, staged
+from lodestone.llm.common import bound_arrow, staged, trim_memory
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker keeps at most before it starts afresh.
-CACHE_WORDS = 400_000
-
-
-class _Words(dict):
-    """Ids, as little-endian bytes, of the text between two lone spaces."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = np.array(self.encode(word), dtype="<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+#: Characters from which on a text is encoded in parts, as a list of ids is large.
+PART_CHARS = 1 << 20
 
 
 class ByteBpe:
     """Token ids of the byte-level vocabulary, equal to those of the
-    ``tokenizers`` file of the same name (a test compares them).
+    ``tokenizers`` file of the same name (a test compares them). Texts are encoded
+    as they are: looking words up in a cache takes longer, as many occur but once.
 
     A lone space between two other characters always begins a token of this
-    vocabulary's splitting pattern, so a text may be cut there and each part
-    looked up; other texts are encoded whole.
+    vocabulary's splitting pattern, so a long text may be cut there.
     """
 
     def __init__(self, json_path: str):
@@ -65,26 +49,30 @@ class ByteBpe:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(json_path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         with open(json_path) as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-        self.exact = Tokenizer.from_file(json_path)
-        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode = encoding.encode_ordinary
-        self.words = _Words(self.encode)
-        self.uneven = re.compile(r" \s|\s ").search
+        self.json_path, self.exact = json_path, None
+        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.lone = re.compile(r"(?<=\S) (?=\S)").search
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.json_path)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not text or self.uneven(text) or text[0] == " " or text[-1] == " ":
-            return np.array(self.encode(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        words = self.words
-        return words[first] + b"".join([words[" " + w] for w in rest])
+        return b"".join(np.array(self.encode(part), dtype="<u4").tobytes() for part in self.parts(text))
+
+    def parts(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > PART_CHARS and (cut := self.lone(text, start + PART_CHARS)):
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -114,6 +102,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with
             arrays = [batch.column(0).take(pa.array(source, pa.int64()))]
             arrays += [pa.array(c, pa.int64()) for c in cols[:6]] + ([pa.array(cols[6], pa.binary())] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del encode
+        trim_memory()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"] + ["ids"] * with_ids
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.blocks import BASE, U64, Rolling, ask, finish, merge, mix, pack_arrays, text_bytes, unpack_arrays, write_blocks
+from lodestone.llm.blocks import BASE, U64, Rolling, ask, chunks_of, finish, merge, mix, pack_arrays, text_bytes, unpack_arrays, write_blocks
 
 LENGTH = 200
 BLOCK_BYTES = 1 << 20  # of text; the hashes of its windows take some 80 times that
@@ -167,8 +167,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         n = np.bincount(at[: len(own)], minlength=len(keys)) + 2 * np.bincount(at[len(own) :], minlength=len(keys))
         return keys, [np.minimum(n, 2).astype("u1")]
 
-    states = merge(ask(names, pairs, buckets), _classify, "repeat-runs", buckets)
-    counts = merge(ask(names, edges, buckets, states, blocks), _count, "repeat-windows", buckets)
+    chunks = chunks_of(blocks)
+    states = merge(ask(names, pairs, buckets, chunks=chunks), _classify, "repeat-runs", buckets, names, chunks)
+    counts = merge(ask(names, edges, buckets, states, blocks, chunks), _count, "repeat-windows", buckets, names, chunks)
 
     def last(table: pa.Table, state: list[bytes], twice: list[bytes]) -> pa.Table:
         b = _Block(table, length)

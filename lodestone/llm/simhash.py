@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import U64, Rolling, mix, read_block, spread, text_bytes, write_blocks
+from lodestone.llm.blocks import U64, Rolling, let_go, mix, read_block, spread, text_bytes, write_blocks
 from lodestone.llm.common import open_fs, staged
 
 WORDS = 5
@@ -164,6 +164,7 @@ def _signed(names: DataFrame, most: int) -> DataFrame:
                 ends = np.cumsum(counts)
                 columns["few"] = pa.array([value[e - n : e].tobytes() if 0 < n <= most else None for n, e in zip(counts.tolist(), ends.tolist())], pa.binary())
                 yield from pa.table(columns).to_batches()
+        let_go()
 
     return staged(spread(names).mapInArrow(run, "node long, doc_id long, h1 long, h2 long, s1 long, s2 long, n_shingles long, few binary"), "signatures")
 

@@ -77,6 +77,18 @@ def test_byte_bpe_equals_tokenizers(exact):
         assert np.frombuffer(encode(t), "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, t
 
 
+def test_byte_bpe_in_parts(exact, monkeypatch):
+    import numpy as np
+
+    encode = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "PART_CHARS", 3)
+    long = "it's 42  don't \n naïve , x.  \t 日本 語 a" * 5
+    assert len(list(encode.parts(long))) > 10
+    for t in [*TEXTS, long]:
+        assert "".join(encode.parts(t)) == t
+        assert np.frombuffer(encode(t), "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, t
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab'st 1\n\t.é", max_size=30))
 def test_byte_bpe_any_text(text):

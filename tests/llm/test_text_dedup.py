@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from lodestone.llm import decontaminate, repeats, simhash
+from lodestone.llm import blocks, decontaminate, repeats, simhash
 
 
 def _brute_repeats(texts, length=200):
@@ -33,6 +33,28 @@ def test_repeats_equal_brute_force(spark):
     assert got == dict(enumerate(_brute_repeats(texts)))
 
 
+def test_repeats_blocks_go_together(spark, monkeypatch):
+    # The values sent grow with the chunks, not with blocks times buckets.
+    rnd = random.Random(3)
+    a = "".join(rnd.choice("abcdefgh ") for _ in range(6000))
+    texts = [a[i * 50 : i * 50 + 400] + str(i % 7) * 150 for i in range(60)] + ["".join(rnd.choice("ijklm ") for _ in range(900)) for _ in range(60)] + [None, "", a[:700]] * 2
+    sent, ask = [], repeats.ask
+
+    def counted(names, question, buckets, *rest, **more):
+        out = ask(names, question, buckets, *rest, **more)
+        sent.append((names.count(), buckets, out.count()))
+        return out
+
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(repeats, "ask", counted)
+    monkeypatch.setattr(blocks, "CHUNKS", 4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    assert got == dict(enumerate(_brute_repeats(texts)))
+    assert len(sent) == 2
+    for n, buckets, rows in sent:
+        assert n > 64 and buckets > 3 and rows <= buckets * -(-n // blocks.TOGETHER)
+
+
 def test_repeats_segments_and_empty(spark, monkeypatch):
     # Texts longer than a segment are cut into several, with the same result.
     rnd = random.Random(2)
