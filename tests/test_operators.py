@@ -166,3 +166,54 @@ def test_merge(spark):
 
 def test_sanitize():
     assert sanitize(r"C:\Users\me\x and https://h/p?token=1") == r"~\x and https://h/p"
+
+
+def test_numbering_is_spread(spark):
+    rows = spark.range(5000).select(F.col("id").alias("walk_pos"), F.md5(F.col("id").cast("string")).alias("hash")).repartition(3)
+    for name, value in (off := {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}).items():
+        spark.conf.set(name, value)
+    try:
+        got = merge.numbered(rows, "walk_pos").select("entry_id", "walk_pos", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    assert all(r.entry_id == r.walk_pos for r in got) and len(got) == 5000 and len({r.part for r in got}) > 1
+
+
+def test_hnsw_full_shard_is_quick_and_repeated_rows_are_found():
+    import time
+
+    began = time.process_time()
+    x = np.concatenate([_unit(3900, 64, 6), np.repeat(_unit(4, 64, 7), 49, axis=0)])
+    g = hnsw.Graph(np.arange(len(x)), x)
+    assert time.process_time() - began < 20
+    queries, truth = x[::40], np.sort(-(x[::40] @ x.T), axis=1)[:, 9]
+    place, found, _ = g.search_many(queries, 10)
+    assert np.bincount(place).tolist() == [10] * len(queries)
+    near = np.einsum("ij,ij->i", x[found], queries[place]) >= -truth[place] - 1e-6
+    assert near.mean() >= 0.95
+    one = [set(g.search(q, 10)[0].tolist()) for q in queries[:50]]
+    assert sum(len(one[i] & set(found[place == i].tolist())) for i in range(50)) >= 0.95 * 500
+
+
+def test_bm25_lengths_come_from_stored_postings(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, ""), (3, None)], "entry_id long, text string")
+    stored = spark.createDataFrame([r for r in bm25.Bm25Index.build(docs).postings.collect()])
+    lengths = bm25.lengths_of(stored, docs)
+    assert sorted(map(tuple, lengths.collect())) == [(1, 3), (2, 0), (3, 0)]
+    assert "split(" not in lengths._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_embedder_counts_tokens(spark):
+    import hashlib
+
+    from lodestone.embed import HashedEmbedder
+
+    texts = [(1, "b a b parseHTTPRequest2"), (2, None), (3, "x y"), (4, "ab cd ab")]
+    got = {r.id: r.embedding for r in HashedEmbedder(16).embed(spark.createDataFrame(texts, "id long, t string").coalesce(1), "t").collect()}
+    for i, tokens in ((1, ["parsehttprequest2", "parse", "http", "request"]), (2, []), (3, []), (4, ["ab", "cd", "ab"])):
+        want = np.zeros(16)
+        for t in tokens:
+            h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+            want[(h >> 1) % 16] += 1 if h & 1 else -1
+        assert got[i] == pytest.approx((want / (np.linalg.norm(want) or 1)).tolist(), abs=1e-6)
