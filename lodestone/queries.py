@@ -7,12 +7,15 @@ Commits are ``documents`` joined with ``events`` on their ids; vectors are
 
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -596,22 +599,60 @@ def embed_text(spark, d):
 # --- a repository made of the commits ----------------------------------------------------
 
 
+#: Commits of a run that build on each other's files.
+RUN = 16
+#: Texts that one task writes as a pack of objects.
+PACK_ROWS = 4096
+
+
 def repository(spark: SparkSession, d: str) -> str:
     """A repository with a commit per row, in the order of ids: each adds a file
-    with its text, so that the newest is first in the walk."""
+    with its text, so that the newest is first in the walk.
+
+    Commits come in runs. The first of a run merges the one before it into the root, so
+    that it adds its file to the root's; the others add theirs to what the run has. A
+    single line of commits would have a folder of all files before in each of them,
+    which is quadratic. Tasks write the texts, each a pack; one process
+    writes the commits, which only name them."""
     where = Path(_fresh(spark, "repository").removeprefix("file://"))
     where.mkdir(parents=True)
-    run = lambda *a, **kw: subprocess.run(["git", "-c", "safe.directory=*", "-C", str(where), *a], check=True, capture_output=True, **kw)
+    git_ = ["git", "-c", "safe.directory=*", "-c", "fastimport.unpackLimit=0", "-c", "core.compression=1", "-C", str(where)]
+    run = lambda *a: subprocess.run([*git_, *a], check=True, capture_output=True)
     run("init", "-q", "-b", "main")
-    load = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", str(where), "fast-import", "--quiet"], stdin=subprocess.PIPE, env=os.environ | {"HOME": str(where)})
     data = lambda b: b"data %d\n" % len(b) + b + b"\n"
-    rows = commits(spark, d).select("entry_id", "author", F.unix_timestamp("date").alias("at"), T.subject(F.col("message")).alias("subject"), "message").orderBy("entry_id")
-    for r in rows.toLocalIterator():  # one process writes a repository
-        who = f"{r.author} <a@example.org> {r['at']} +0000\n".encode()
-        load.stdin.write(b"commit refs/heads/main\nauthor " + who + b"committer " + who + data(r.subject.encode()) + b"M 100644 inline " + f"docs/{r.entry_id}.txt\n".encode() + data(r.message.encode() + b"\n"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = None
+        for batch in batches:
+            if load is None:
+                load = subprocess.Popen([*git_, "fast-import", "--quiet"], stdin=subprocess.PIPE, env=os.environ | {"HOME": str(where)})
+            names = []
+            for text in batch.column("message"):
+                blob = text.as_py().encode() + b"\n"
+                names.append(hashlib.sha1(b"blob %d\0" % len(blob) + blob).hexdigest())
+                load.stdin.write(b"blob\n" + data(blob))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string())], names=[*batch.schema.names[:-1], "blob"])
+        if load is not None:
+            load.stdin.close()
+            if load.wait():
+                raise OSError("the texts could not be written")
+
+    rows = commits(spark, d).select("entry_id", "author", F.unix_timestamp("date").alias("at"), T.subject(F.col("message")).alias("subject"), "message")
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // PACK_ROWS))
+    listed = _fresh(spark, "blobs")
+    rows.repartitionByRange(parts, "entry_id").sortWithinPartitions("entry_id").mapInArrow(write, "entry_id long, author string, at long, subject string, blob string").write.parquet(listed)
+    load = subprocess.Popen([*git_, "-c", "core.compression=0", "fast-import", "--quiet", "--depth=0"], stdin=subprocess.PIPE, env=os.environ | {"HOME": str(where)})
+    files = sorted(Path(listed.removeprefix("file://")).glob("*.parquet"))  # a short row per commit, in the order of ranges
+    for i, (entry_id, author, at, subject, blob) in enumerate(row for f in files for row in zip(*(c.to_pylist() for c in pq.read_table(f).columns))):
+        who = f"{author} <a@example.org> {at} +0000\n".encode()
+        parent = b""
+        if i and i % RUN == 1:
+            parent = b"from :1\nmerge :2\n" if i > 1 else b"from :1\n"
+        load.stdin.write(b"commit refs/heads/main\nmark :%d\nauthor " % (2 if i else 1) + who + b"committer " + who + data(subject.encode()) + parent + f"M 100644 {blob} docs/{entry_id}.txt\n".encode())
     load.stdin.close()
     if load.wait():
         raise OSError("the repository could not be written")
+    run("multi-pack-index", "write")  # a look-up of an object is one for all packs
     return str(where)
 
 
@@ -630,9 +671,10 @@ def git_history(spark, d):
 @query(f"WITH {COMMITS} SELECT (SELECT max(entry_id) FROM commits) - entry_id AS walk_pos, {_SUBJECT} AS subject, '' AS diff_summary FROM commits WHERE entry_id > {_HALF}")
 def git_history_since(spark, d):
     """The walk before the commit in its middle, without changes."""
-    walk = git.history(spark, repository(spark, d), include_diffs=False)
-    half = walk.agg(F.max("walk_pos")).first()[0] - table(spark, d, "documents").count() // 2
-    found = git.since(walk, walk.where(F.col("walk_pos") == half).first().hash)
+    where = repository(spark, d)
+    hashes = git.walk(where)
+    half = len(hashes) - 1 - table(spark, d, "documents").count() // 2
+    found = git.since(git.history(spark, where, include_diffs=False), hashes[half])
     return found.select("walk_pos", T.subject(F.col("message")).alias("subject"), "diff_summary")
 
 

@@ -177,7 +177,7 @@ def history(spark: SparkSession, path: str, include_diffs: bool = True) -> DataF
 def since(commits: DataFrame, last: str) -> DataFrame:
     """The walk before it meets ``last``; not all that ``last`` cannot reach: a
     side branch that comes later in the walk is left out."""
-    at = commits.where(F.col("hash") == last).agg(F.min("walk_pos").alias("stop"))
-    if at.first().stop is None:
+    stop = commits.where(F.col("hash") == last).agg(F.min("walk_pos").alias("stop")).first().stop
+    if stop is None:
         raise CommitNotFound(f"{last[:7]} is not in the history")
-    return commits.join(F.broadcast(at), F.col("walk_pos") < F.col("stop"), "inner").drop("stop")
+    return commits.where(F.col("walk_pos") < stop)

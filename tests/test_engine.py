@@ -219,3 +219,22 @@ def test_entry_contract(spark):
 def test_works_without_the_optional_subpackage():
     code = "import sys; sys.modules['lodestone.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_repository_of_many_commits_has_small_trees(spark, tmp_path, monkeypatch):
+    from lodestone import queries as Q
+
+    n = 3 * Q.RUN + 5
+    monkeypatch.setattr(Q, "PACK_ROWS", 20)
+    rows = [(i, f"{i:032x}", f"author {i}", f"subject é {i}\nline {i}\n\n-- x") for i in range(n)]
+    made = spark.createDataFrame(rows, "entry_id long, hash string, author string, message string").withColumn("date", F.to_timestamp(F.lit("2024-01-01 00:00:00"))).withColumn("diff_summary", F.lit("")).repartition(3)
+    monkeypatch.setattr(Q, "commits", lambda s, d: made)
+    where = Q.repository(spark, "none")
+    walked = git.history(spark, where).orderBy("walk_pos").collect()
+    assert [r.author for r in walked] == [f"author {n - 1 - i}" for i in range(n)] and git.walk(where) == [r.hash for r in walked]
+    for r in walked:
+        i = n - 1 - r.walk_pos
+        assert r.diff_summary == f"Files: docs/{i}.txt\n+subject é {i}\n+line {i}\n+\n+-- x\n" and r.message.strip() == f"subject é {i}"
+        tree = subprocess.run(["git", "-C", where, "ls-tree", "-r", "--name-only", r.hash], capture_output=True, text=True, check=True).stdout.split()
+        assert f"docs/{i}.txt" in tree and len(tree) <= Q.RUN + 1
+    assert git.since(git.history(spark, where, False), walked[10].hash).count() == 10
