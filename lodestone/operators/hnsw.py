@@ -27,10 +27,10 @@ TOP_LEVEL = 16
 SHARD_ROWS = 4096
 #: A search that comes back short is repeated so much wider.
 WIDEN = 4
-#: Nodes that are linked, and queries that walk, at a time; pairs of neighbours in memory.
+#: Nodes that are linked at a time; pairs of neighbours in memory.
 BLOCK, PAIRS = 256, 1 << 22
-#: Nodes that a query of many leaves in one step.
-EXPAND = 4
+#: Queries that walk together, and nodes that each of them leaves in one step.
+WALK, EXPAND = 64, 8
 
 
 @dataclass(frozen=True)
@@ -165,9 +165,9 @@ class Graph:
         dim, width = self.x.shape[1], max(ef or self.params.ef_search, k)
         layers = [self._padded(layer) for layer in range(len(self.links[self.entry]))]
         places, ids, dists = [], [], []
-        for a in range(0, len(queries), BLOCK):
-            q = np.zeros((len(queries[a : a + BLOCK]), dim), dtype=np.float32)
-            q[:, : queries.shape[1]] = queries[a : a + BLOCK, :dim]
+        for a in range(0, len(queries), WALK):
+            q = np.zeros((len(queries[a : a + WALK]), dim), dtype=np.float32)
+            q[:, : queries.shape[1]] = queries[a : a + WALK, :dim]
             size = np.linalg.norm(q, axis=1, keepdims=True)
             near, dist = self._walk(q / np.where(size > 0, size, 1), width, layers)
             for i in range(len(q)):

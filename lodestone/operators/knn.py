@@ -2,8 +2,9 @@
 
 One query is a constant in the projection, and the k best are kept in bounded
 heaps per task (TakeOrderedAndProject). A set of queries is scored in blocks: the
-entries are never shuffled, each task multiplies its Arrow batches with the
-queries and keeps k rows per query, and only these are merged.
+entries are not shuffled unless they are in few files, each task multiplies its Arrow batches with the
+queries, a block of each at a time, and keeps k rows per query, and only these are
+merged.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lodestone.functions.vectors import distance, dot
 
 #: Queries of a batch are sent to every task, so their number is checked.
 MOST_QUERIES = 20_000
+#: Rows and queries that a task multiplies at a time, and results that wait for a merge.
+BLOCK_ROWS, BLOCK_QUERIES, WAITING = 4096, 512, 1 << 18
 
 
 def _constant(query: list[float]) -> Column:
@@ -62,6 +65,51 @@ def keep_best(ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], np.isnan(dist[at]), value[at]))][:k]
 
 
+class Best:
+    """The k nearest rows of each query so far. Of a block of products only what is as
+    near as a query's k-th is looked at, and that waits until it is as much as was kept."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = max(0, k)
+        self.q, self.ids, self.dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.worst = np.full(queries, np.inf)
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, first: int, products: np.ndarray, ids: np.ndarray) -> None:
+        """Inner products of the queries from ``first`` on with the rows of ``ids``."""
+        if not self.k:
+            return
+        worst = self.worst[first : first + len(products)]
+        new = np.isinf(worst)
+        if new.all() and len(ids) > self.k:  # nothing is known yet: the block's own k-th
+            kth = np.partition(np.where(np.isnan(products), -np.inf, products), -self.k, axis=1)[:, -self.k]
+            worst = np.where(np.isinf(kth), np.inf, 1.0 - kth)
+        # Distances are compared as rounded, so that ties are kept for the lower id.
+        q, row = np.nonzero(~(products < (1.0 - worst - 2e-6)[:, None]))
+        self.more.append((q + first, ids[row], np.round(1.0 - products[q, row], 6) + 0.0))
+        self.waiting += len(q)
+        if self.waiting > max(WAITING, len(self.q)):
+            self._merge()
+
+    def _merge(self) -> None:
+        q, ids, dist = (np.concatenate([a, *b]) for a, b in zip((self.q, self.ids, self.dist), zip(*self.more) if self.more else ((), (), ())))
+        value = np.where(np.isnan(dist), np.inf, dist)
+        order = np.lexsort((ids, np.isnan(dist), value, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        at = order[place < self.k]
+        full = order[place == self.k - 1]
+        self.worst[q[place == self.k - 1]] = value[full]
+        self.q, self.ids, self.dist = q[place < self.k], ids[at], dist[at]
+        self.more, self.waiting = [], 0
+
+    def kept(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self._merge()
+        for a in range(0, len(self.q), WAITING):
+            yield self.q[a : a + WAITING], self.ids[a : a + WAITING], self.dist[a : a + WAITING]
+
+
 def knn_batch(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, entry_id, dist, rank for queries(query_id, embedding)."""
     rows = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
@@ -79,24 +127,21 @@ def knn_batch(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     matrix = np.array([r.embedding for r in rows], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = [np.zeros(0, np.int64)] * len(matrix)
-        best_dist = [np.zeros(0)] * len(matrix)
+        best = Best(len(matrix), k)
         for batch in batches:
-            column = batch.column(1)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if len(flat) != batch.num_rows * matrix.shape[1]:
                 raise DimensionMismatch(f"The queries have {matrix.shape[1]} components")
-            dist = np.round(1.0 - matrix @ flat.reshape(-1, matrix.shape[1]).T, 6) + 0.0
-            ids = batch.column(0).to_numpy()
-            for q in range(len(matrix)):
-                all_ids, all_dist = np.concatenate([best_id[q], ids]), np.concatenate([best_dist[q], dist[q]])
-                at = keep_best(all_ids, all_dist, k)
-                best_id[q], best_dist[q] = all_ids[at], all_dist[at]
-        n = [len(x) for x in best_id]
-        if sum(n):
-            q = pa.array(np.repeat(np.arange(len(n)), n)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([q, pa.array(np.concatenate(best_id)), pa.array(np.concatenate(best_dist))], names=["q", "entry_id", "dist"])
-
+            rows, ids = flat.reshape(-1, matrix.shape[1]), batch.column(0).to_numpy()
+            for at in range(0, len(rows), BLOCK_ROWS):
+                for q in range(0, len(matrix), BLOCK_QUERIES):
+                    best.add(q, matrix[q : q + BLOCK_QUERIES] @ rows[at : at + BLOCK_ROWS].T, ids[at : at + BLOCK_ROWS])
+        for q, entry_id, dist in best.kept():
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(entry_id, pa.int64()), pa.array(dist)], names=["q", "entry_id", "dist"])
+
+    many = entries.sparkSession.sparkContext.defaultParallelism
+    if len(matrix) > BLOCK_QUERIES and len(entries.inputFiles()) < many:  # few files make few tasks
+        entries = entries.repartition(many)
     near = entries.select(F.col("entry_id").cast("long").alias("entry_id"), "embedding").mapInArrow(run, "q long, entry_id long, dist double")
     order = Window.partitionBy("q").orderBy(F.col("dist").asc_nulls_last(), "entry_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -217,3 +217,31 @@ def test_hashed_embedder_counts_tokens(spark):
             h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
             want[(h >> 1) % 16] += 1 if h & 1 else -1
         assert got[i] == pytest.approx((want / (np.linalg.norm(want) or 1)).tolist(), abs=1e-6)
+
+
+def test_knn_batch_blocks_keep_ties_and_little(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    queries, rows = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (60, 3)).astype(float)
+    rows[5] = np.nan
+    ids_ = rng.permutation(60)
+    for waiting in (1, 10, 1000):
+        monkeypatch.setattr(knn, "WAITING", waiting)
+        best = knn.Best(9, 4)
+        for a in range(0, 60, 7):
+            for q in range(0, 9, 2):
+                best.add(q, queries[q : q + 2] @ rows[a : a + 7].T, ids_[a : a + 7])
+        got = [x for part in best.kept() for x in zip(*(c.tolist() for c in part))]
+        dist = np.round(1.0 - queries @ rows.T, 6) + 0.0
+        assert got == [(q, int(ids_[i]), float(dist[q, i])) for q in range(9) for i in knn.keep_best(ids_, dist[q], 4)]
+    monkeypatch.undo()
+    tracemalloc.start()
+    best, q, x = knn.Best(4000, 10), _unit(4000, 16, 9), _unit(8192, 16, 10)
+    for a in range(0, len(x), knn.BLOCK_ROWS):
+        for b in range(0, len(q), knn.BLOCK_QUERIES):
+            best.add(b, q[b : b + knn.BLOCK_QUERIES] @ x[a : a + knn.BLOCK_ROWS].T, np.arange(a, a + knn.BLOCK_ROWS))
+    assert sum(len(part[0]) for part in best.kept()) == 40000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # all products at once are 262 MB
