@@ -245,3 +245,26 @@ def test_knn_batch_blocks_keep_ties_and_little(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6  # all products at once are 262 MB
+
+
+def test_bm25_work_goes_by_entry_in_parts_that_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "PART_ROWS", 5)
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 3} alpha") for i in range(60)], "entry_id long, text string")
+    parts = bm25.term_frequencies(docs).select("entry_id", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(parts) == 60 and len({r.part for r in parts}) > 4
+    index, query = bm25.Bm25Index.build(docs), bm25.one_query(spark, "alpha w3")
+    some = spark.range(20, 40).withColumnRenamed("id", "entry_id")
+    whole = {r.entry_id: r.score for r in index.scores(query).collect()}
+    found = index.scores(query, some)
+    # A filter on one side of the exchange would have the texts tokenized once more.
+    assert "isnotnull(entry_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.entry_id: r.score for r in found.collect()} == pytest.approx({i: whole[i] for i in range(20, 40)})
+
+
+def test_bm25_statistics_count_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None), (4, "alpha")], "entry_id long, text string")
+    index = bm25.Bm25Index.build(docs)
+    assert tuple(index.stats.first()) == (4, 3, 0.75)
+    stored = bm25.Bm25Index(index.postings, bm25.lengths_of(index.postings, docs))
+    query = bm25.one_query(spark, "alpha")
+    assert {r.entry_id: r.score for r in index.scores(query).collect()} == pytest.approx({r.entry_id: r.score for r in stored.scores(query).collect()})
